@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, quality_rules, url_filter
+from . import html_extract, line_dedup, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_html_extract": html_extract.op4_html_extract, "op8_quality_rules": quality_rules.op8_quality_rules, "op10_url_filter": url_filter.op10_url_filter}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_html_extract": html_extract.op4_html_extract,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_html_extract": html_extract.op4_html_extract, "op8_quality_rules": quality_rules.op8_quality_rules, "op10_url_filter": url_filter.OP10_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
+    }
