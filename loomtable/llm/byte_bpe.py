@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker, table
+
 KEPT = 400_000
 
 
@@ -166,10 +168,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-#: What this Python worker has built, by vocabulary: later tasks find it and its pieces.
-_MADE: dict[int, Bpe] = {}
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """docs without the text, with n_tokens, ids (binary, little-endian unsigned 32-bit, if
     keep_ids), ids_sha256, and decoded_sha256 of the bytes that the ids decode to."""
@@ -177,7 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     key = xxhash.xxh64_intdigest(pattern.encode() + b"".join(b"%d %b\n" % (i, k) for k, i in ranks.items()))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = _MADE.get(key) or _MADE.setdefault(key, Bpe(*known.value))
+        bpe = kept_in_worker(key, lambda: Bpe(*known.value))  # with the pieces that earlier tasks met
         for batch in batches:
             rows = []
             for x in batch:
@@ -207,7 +205,5 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFr
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_ids=False)

@@ -49,3 +49,13 @@ def words_of(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make):
+    """What make() gave the first time this Python worker was asked for key."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]

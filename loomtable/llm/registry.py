@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, line_dedup, quality_rules, url_filter
+from . import byte_bpe, html_extract, line_dedup, quality_rules, token_ids, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_token_ids": token_ids.op2_token_ids,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_html_extract": html_extract.op4_html_extract,
         "op8_quality_rules": quality_rules.op8_quality_rules,
