@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, line_dedup, quality_rules, token_ids, url_filter
+from . import byte_bpe, html_extract, line_dedup, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_token_ids": token_ids.op2_token_ids,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_html_extract": html_extract.op4_html_extract,
+        "op5_warc": warc.op5_warc,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_url_filter": url_filter.op10_url_filter,
     }
@@ -25,5 +26,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op5_warc": warc.OP5_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
