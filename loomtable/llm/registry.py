@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, byte_bpe, html_extract, line_dedup, quality_rules, token_ids, url_filter, warc
+from . import bag_minhash, byte_bpe, html_extract, license_scan, line_dedup, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_html_extract": html_extract.op4_html_extract,
         "op5_warc": warc.op5_warc,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_url_filter": url_filter.op10_url_filter,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op5_warc": warc.OP5_SQL,
+        "op6_license_scan": license_scan.OP6_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
