@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, byte_bpe, html_extract, license_scan, line_dedup, quality_rules, token_ids, url_filter, warc
+from . import bag_minhash, byte_bpe, decontaminate, html_extract, license_scan, line_dedup, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_html_extract": html_extract.op4_html_extract,
         "op5_warc": warc.op5_warc,
         "op6_license_scan": license_scan.op6_license_scan,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_url_filter": url_filter.op10_url_filter,
