@@ -1,7 +1,9 @@
 r"""License scans: spans of a text against licence templates by Dice over word bigrams.
 
-Normalised text is lower case, spells licence as license and has no copyright lines; words
-are runs of letters and digits. Spans are each line, each paragraph (between blank lines)
+Normalised text is lower case, spells licence as license and has no copyright statements: the
+mark, the years and the holder, up to the first words of a template, the end of a sentence or
+of the line, and "all rights reserved". What stands before and after a statement stays, as lines
+of their own. Words are runs of letters and digits. Spans are each line, each paragraph (between blank lines)
 and the whole text, so both a one-line notice and a licence wrapped over many lines are
 found. A span's distinct word bigrams A meet a template's B by 2 |A and B| / (|A| + |B|).
 
@@ -21,6 +23,7 @@ pass through, those named like a result are replaced.
 from __future__ import annotations
 
 import math
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +33,11 @@ from .common import table
 
 LEAST = 0.8
 RESULTS = ["license", "category", "dice", "n_license_spans", "licenses"]
-COPYRIGHT, NO_WORD = r"copyright\s+(\(c\)|©|[0-9]{4})[^\n]*", r"[^\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
+MARK = r"copyright\s+(?:\(c\)|©|[0-9]{4})"
+#: Ends a holder's name: the end of a sentence, but not an initial or an abbreviation.
+SENTENCE_END = r"(?<!\b(?:inc|ltd|corp|co|llc|bros|dr|jr|sr|st|al|\p{L}))[.;!?](?=\s)"
+RESERVED = r"(?:[\x20\t.,;]*all[\x20\t]+rights[\x20\t]+reserved\b\.?)?"
 
 
 class Template(NamedTuple):
@@ -74,9 +81,17 @@ TEMPLATES = [
 ]
 
 
-def normalised(text: Column) -> Column:
+def _statement(templates: list[Template]) -> str:
+    """A copyright statement, without the license that may follow on its line."""
+    openings = sorted({r"[^\p{L}\p{N}\n]+".join(re.findall(r"[^\W_]+", t.text.lower().replace("licence", "license"))[:2]) for t in templates} - {""})
+    begins = rf"\b(?:{'|'.join(openings)})\b" if openings else "$"
+    return rf"{MARK}[^\n]*?(?:(?={begins})|(?={MARK})|{RESERVED}(?:{SENTENCE_END}|(?=\n)|\z)){RESERVED}"
+
+
+def normalised(text: Column, templates: list[Template]) -> Column:
     plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("licence"), F.lit("license"))
-    return F.regexp_replace(plain, COPYRIGHT, "")
+    statement = _statement(templates)
+    return F.regexp_replace(F.regexp_replace(plain, rf"(?<=[^\n]){statement}", "\n"), statement, "")
 
 
 def _bigrams(words: Column) -> Column:
@@ -86,7 +101,7 @@ def _bigrams(words: Column) -> Column:
 
 def _known(spark: SparkSession, templates: list[Template], least: float) -> Column:
     """The templates as one constant: place in the list, bounds, bigram hashes."""
-    grams = spark.range(1).select(*[_bigrams(F.array_remove(F.split(normalised(F.lit(t.text)), NO_WORD), "")).alias(f"t{i}") for i, t in enumerate(templates)]).first()
+    grams = spark.range(1).select(*[_bigrams(F.array_remove(F.split(normalised(F.lit(t.text), templates), NO_WORD), "")).alias(f"t{i}") for i, t in enumerate(templates)]).first()
     low = [math.ceil(len(g) * least / (2 - least) - 1e-9) for g in grams]
     high = [math.floor(len(g) * (2 - least) / least + 1e-9) for g in grams]
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(low[i]).alias("low"), F.lit(high[i]).alias("high"), F.lit(list(g)).alias("grams")) for i, g in enumerate(grams)])
@@ -100,7 +115,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, least: float
     known = _known(docs.sparkSession, templates, least)
     names = F.array(*[F.lit(t.license) for t in templates])
     kinds = F.array(*[F.lit(t.category) for t in templates])
-    out = docs.withColumn("_norm", normalised(F.col(text)))
+    out = docs.withColumn("_norm", normalised(F.col(text), templates))
     spans = F.concat(F.array("_norm"), F.split("_norm", r"\n[\x20\t\r]*\n"), F.split("_norm", "\n"))
     out = out.withColumn("_spans", F.array_distinct(spans))
     out = out.withColumn("_words", F.transform("_spans", lambda s: F.array_remove(F.split(s, NO_WORD), "")))

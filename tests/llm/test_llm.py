@@ -127,6 +127,23 @@ def test_licenses(odd, spark):
     assert license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_beside_copyright(spark):
+    """A notice or a licence on the line of its copyright statement."""
+    mit = next(t.text for t in license_scan.TEMPLATES if t.license == "MIT" and len(t.text) > 200)
+    rows = {
+        1: ("Copyright 2020 The Authors. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        2: (f"Copyright (c) 2021 X {mit}", "MIT"),
+        3: ("/* Copyright © 2019-2021 J. Doe, Foo Inc. All rights reserved. Released under the MIT License. */", "MIT"),
+        4: ("A long tale of a page with many words that says what it is for and how it came about. Copyright 2001 A. B. Copyright (c) 2002 C. Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        5: ("Copyright (c) 2001 Someone", None),
+        6: ("Copyright (c) 2001 Someone Inc. All Rights Reserved\nReleased under the MIT License.", "MIT"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert {k: r.license for k, r in got.items()} == {k: v[1] for k, v in rows.items()}
+    assert got[1].dice == got[2].dice == got[6].dice == 1
+
+
 def brute_leaks(texts, items):
     """Every window of every text against every item, without an index."""
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
