@@ -6,7 +6,8 @@ role, or a word of their class or id. Every block of running text then passes po
 the elements around it: one, one for each comma, and one for each hundred characters up to
 three; the parent gets them whole, the grandparent half, the k-th above it 1/(3k). An
 element's points are discounted by the share of its text that stands in links. The best
-element and those of its siblings that score well beside it are the article.
+element, or the article or main element around it, and those of its siblings that score well
+beside it are the article.
 
 Results of the odd cases: null or empty html, and pages without text, give an empty text;
 text outside any element is a block of the page; unclosed elements end with their
@@ -198,6 +199,10 @@ def main_text(page: str | None) -> str:
     if not ranked:
         return ""
     best = ranked[0]
+    node = best
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    best = node or best  # an article is taken whole, whichever part of it scores best
     if best is root or best.parent is None:
         return "\n\n".join(text for _, text, _ in blocks(root))
     least = max(10.0, best.points / 5)
