@@ -7,6 +7,13 @@ of their own. Words are runs of letters and digits. Spans are each line, each pa
 and the whole text, so both a one-line notice and a licence wrapped over many lines are
 found. A span's distinct word bigrams A meet a template's B by 2 |A and B| / (|A| + |B|).
 
+A licence of several paragraphs amid other text is found as a run: lines in a row, blank ones
+skipped, that begin and end with a line holding bigrams of the template. A run reaches the
+threshold only if t / (2 - t) of B's bigrams are in it, so only texts with that many are looked
+at, and only lines near enough to each other (`ROOM` times the upper bound in words). The best
+runs that do not overlap a better one count as spans, but for those that hold a span found by
+itself for the same template.
+
 As that is at most 2 min / (|A| + |B|), only templates with |B| between |A| t / (2 - t) and
 |A| (2 - t) / t can reach the threshold t. Each template carries these bounds, and a span is
 compared with those that hold it alone. Bigrams are compared by 64-bit hashes.
@@ -32,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAST = 0.8
+#: A run's words are at most this often the distinct bigrams a template allows.
+ROOM = 2
 RESULTS = ["license", "category", "dice", "n_license_spans", "licenses"]
 NO_WORD = r"[^\p{L}\p{N}]+"
 MARK = r"copyright\s+(?:\(c\)|©|[0-9]{4})"
@@ -107,6 +116,67 @@ def _known(spark: SparkSession, templates: list[Template], least: float) -> Colu
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(low[i]).alias("low"), F.lit(high[i]).alias("high"), F.lit(list(g)).alias("grams")) for i, g in enumerate(grams)])
 
 
+def _dice(a: Column, b: Column) -> Column:
+    return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
+_RUN = "array<struct<dice:double,i:int,short:int,k:int,e:int,said:string>>"
+
+
+def _runs(t: Column, least: float) -> Column:
+    """The runs of _lines, from line k to e, that reach the threshold with a template."""
+    need = F.ceil(F.size(t["grams"]) * (least / (2 - least)) - 1e-9)
+    room = (t["high"] * ROOM + 1).cast("int")
+    facts = F.transform("_lines", lambda x: F.struct(F.size(F.array_intersect(x["grams"], t["grams"])).alias("hits"), F.size(x["words"]).alias("n")))
+
+    def of(f: Column) -> Column:
+        def ends(k: Column) -> Column:
+            """Lines that end a run from line k: words and hits up to each are summed on the way."""
+            start = F.struct(k.alias("e"), F.lit(0).alias("n"), F.lit(0).alias("hits"), F.array().cast("array<int>").alias("found"))
+
+            def step(at: Column, x: Column) -> Column:
+                n, hits = at["n"] + x["n"], at["hits"] + x["hits"]
+                ok = (at["e"] > k) & (x["hits"] > 0) & (hits >= need) & (n <= room)
+                return F.struct((at["e"] + 1).alias("e"), n.alias("n"), hits.alias("hits"), F.when(ok, F.concat(at["found"], F.array(at["e"]))).otherwise(at["found"]).alias("found"))
+
+            return F.aggregate(F.slice(f, k + 1, room), start, step, lambda at: at["found"])
+
+        # The bigram that joins two lines is with the second one.
+        hit = lambda k: F.coalesce(F.get(f, k)["hits"], F.lit(0)) > 0
+        starts = F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda k: hit(k) | hit(k + 1))
+        spans = F.flatten(F.transform(starts, lambda k: F.transform(ends(k), lambda e: F.struct(k.alias("k"), e.alias("e")))))
+        worded = F.transform(spans, lambda s: F.struct(s["k"].alias("k"), s["e"].alias("e"), F.flatten(F.transform(F.slice("_lines", s["k"] + 1, s["e"] - s["k"] + 1), lambda x: x["words"])).alias("words")))
+        valued = F.transform(worded, lambda s: F.struct(_dice(_bigrams(s["words"]), t["grams"]).alias("dice"), (-t["i"]).alias("i"), (s["k"] - s["e"]).alias("short"), s["k"].alias("k"), s["e"].alias("e"), F.array_join(s["words"], " ").alias("said")))
+        return F.filter(valued, lambda r: r["dice"] >= least)
+
+    return F.flatten(F.transform(F.array(facts), of))
+
+
+def _with_runs(out: DataFrame, known: Column, least: float) -> DataFrame:
+    """out with _found: the spans of _single, and the runs of lines that are licenses."""
+    every = F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"])))
+    out = out.withColumn("_own", F.array_intersect(_bigrams(F.array_remove(F.split("_norm", NO_WORD), "")), every))
+    # Templates of which the text holds enough bigrams.
+    out = out.withColumn("_likely", F.filter(known, lambda t: F.size(F.array_intersect("_own", t["grams"])) >= F.ceil(F.size(t["grams"]) * (least / (2 - least)) - 1e-9)))
+    lines = F.filter(F.transform(F.split("_norm", "\n"), lambda x: F.array_remove(F.split(x, NO_WORD), "")), lambda w: F.size(w) > 0)
+    out = out.withColumn("_split", F.when(F.size("_likely") > 0, lines).otherwise(F.array().cast("array<array<string>>")))
+    # Words of each line, and its bigrams with the one from the line before.
+    before = lambda k: F.coalesce(F.slice(F.get("_split", k - 1), -1, 1), F.array().cast("array<string>"))
+    out = out.withColumn("_lines", F.transform("_split", lambda w, k: F.struct(w.alias("words"), _bigrams(F.concat(before(k), w)).alias("grams"))))
+    found = F.when(F.size("_lines") > 1, F.flatten(F.transform("_likely", lambda t: _runs(t, least))))
+    out = out.withColumn("_runs", F.sort_array(F.coalesce(found, F.array().cast(_RUN)), asc=False))
+    free = lambda taken, r: ~F.exists(taken, lambda x: (x["k"] <= r["e"]) & (r["k"] <= x["e"]))
+    best = F.aggregate("_runs", F.array().cast(_RUN), lambda taken, r: F.when(free(taken, r), F.concat(taken, F.array(r).cast(_RUN))).otherwise(taken))
+    # A run around a span found by itself for the same template, or within it, is that span again.
+    inside = lambda x, y: F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), y, F.lit(" ")))
+    again = lambda r: F.exists("_single", lambda x: (x["i"] == r["i"]) & (inside(x["said"], r["said"]) | inside(r["said"], x["said"])))
+    out = out.withColumn("_best_runs", F.when(F.size("_runs") > 0, best).otherwise(F.array().cast(_RUN)))
+    pure = lambda xs: F.transform(xs, lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("i")))
+    # Of runs with the same words one counts, as of equal lines or paragraphs.
+    new = F.array_distinct(F.transform(F.filter("_best_runs", lambda r: ~again(r)), lambda r: F.struct(r["dice"].alias("dice"), r["i"].alias("i"), r["said"].alias("said"))))
+    return out.withColumn("_found", F.concat(pure("_single"), pure(new)))
+
+
 def scan(docs: DataFrame, templates: list[Template] | None = None, least: float = LEAST, text: str = "text") -> DataFrame:
     """docs with license, category, dice (of the best span), n_license_spans, licenses (of
     all spans, sorted, comma-separated)."""
@@ -119,14 +189,18 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, least: float
     spans = F.concat(F.array("_norm"), F.split("_norm", r"\n[\x20\t\r]*\n"), F.split("_norm", "\n"))
     out = out.withColumn("_spans", F.array_distinct(spans))
     out = out.withColumn("_words", F.transform("_spans", lambda s: F.array_remove(F.split(s, NO_WORD), "")))
-    out = out.withColumn("_grams", F.transform(F.filter("_words", lambda w: F.size(w) > 1), _bigrams))
+    out = out.withColumn("_many", F.filter("_words", lambda w: F.size(w) > 1))
+    out = out.withColumn("_grams", F.transform("_many", _bigrams))
 
     def best(grams: Column) -> Column:
         fits = F.filter(known, lambda t: F.size(grams).between(t["low"], t["high"]))
-        dice = F.transform(fits, lambda t: F.struct((2 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), (-t["i"]).alias("i")))
+        dice = F.transform(fits, lambda t: F.struct(_dice(grams, t["grams"]).alias("dice"), (-t["i"]).alias("i")))
         return F.array_max(dice)
 
-    out = out.withColumn("_found", F.filter(F.transform("_grams", best), lambda b: b["dice"] >= least))
+    out = out.withColumn("_each", F.transform("_grams", best))
+    reached = F.zip_with("_each", "_many", lambda b, w: F.when(b["dice"] >= least, F.struct(b["dice"].alias("dice"), b["i"].alias("i"), F.array_join(w, " ").alias("said"))))
+    out = out.withColumn("_single", F.filter(reached, lambda b: b.isNotNull()))
+    out = _with_runs(out, known, least)
     out = out.withColumn("_best", F.array_max("_found"))
     at = lambda b: F.element_at(names, 1 - b["i"])
     return out.select(
