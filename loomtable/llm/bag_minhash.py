@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table
+from .common import staged, table, text_key
 from .components import components
 
 SLOTS, ROWS, WORDS, LEAST = 128, 4, 5, 0.8
@@ -265,11 +265,23 @@ def classes(docs: DataFrame, least: float = LEAST, small: int = SMALL, block: in
     return placed.join(found.toDF("node", "component"), "node", "left").select("doc_id", "_id", F.coalesce("component", "node").alias("class_id"))
 
 
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """docs with _own: an id for each doc_id and text, the doc_id itself for the only (or
+    first) text of a doc_id."""
+    rows = docs.withColumn("_key", text_key(F.col("text")))
+    many = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).filter("_least <> _most").drop("_most")
+    other = -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    joined = rows.join(many, rows["doc_id"] == many["_of"], "left")
+    return joined.withColumn("_own", F.when(F.col("_key") != F.col("_least"), other).otherwise(own_id())).drop("_of", "_key", "_least")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs less all but one document of each class: the one whose doc_id is the class's."""
-    gone = staged(classes(docs.select("doc_id", "text"), **how).filter("_id <> class_id").select("_id").distinct(), "near-gone")
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
-    left = docs.withColumn("_id", own_id()).join(gone, "_id", "left_anti").withColumn("_nth", nth).filter("_nth = 1")
+    """docs less all but one document (doc_id and text) of each class: the one whose id is the
+    class's."""
+    rows = with_own_ids(docs)
+    gone = staged(classes(rows.select(F.col("_own").alias("doc_id"), "text"), **how).filter("_id <> class_id").select(F.col("_id").alias("_own")).distinct(), "near-gone")
+    nth = F.row_number().over(Window.partitionBy("_own").orderBy("text"))
+    left = rows.join(gone, "_own", "left_anti").withColumn("_nth", nth).filter("_nth = 1")
     return left.select(*docs.columns)
 
 

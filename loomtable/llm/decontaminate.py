@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bag_minhash import word_hashes
-from .common import staged, table
+from .common import staged, table, text_key
 
 K1, B, LEAST, SHINGLE = 1.5, 0.75, 0.8, 5
 BLOCK, SHARD_POSTINGS, PART_WORDS = 32, 2_000_000, 8
@@ -224,14 +224,13 @@ def index(benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHAR
     return staged(rows.groupBy("shard").applyInPandas(build, "shard int, length int, index binary"), "leak-index")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """doc_id, item_id, score (BM25 over what a leak needs at least), question_overlap,
-    answer_overlap of every leak."""
+def _found(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """The leaks of every row, with the row's text key in _key."""
     spark = docs.sparkSession
     shards = index(benchmark, least, shard_postings)
-    out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, _key long"
     found = None
-    words = docs.select(F.col("doc_id").cast("string").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+    words = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), word_hashes(F.col("text")).alias("words"))
     for (shard,) in shards.select("shard").orderBy("shard").collect():  # numbers of shards, each bounded
         row = shards.filter(F.col("shard") == shard).first()
         known, length = spark.sparkContext.broadcast(bytes(row["index"])), int(row["length"])
@@ -239,23 +238,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_pos
         def run(batches: Iterator[pd.DataFrame], known=known, length=length) -> Iterator[pd.DataFrame]:
             own = pickle.loads(known.value)
             for batch in batches:
-                ids = batch["doc_id"].tolist()
-                rows = [(ids[i], own.items[item][0], score, q, a) for i, item, score, q, a in own.leaks(batch["words"].tolist(), length)]
-                made = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-                yield made.assign(doc_id=[None if x is None else int(x) for x in made["doc_id"]]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                ids, keys = batch["doc_id"].tolist(), batch["_key"].tolist()
+                rows = [(ids[i], own.items[item][0], score, q, a, keys[i]) for i, item, score, q, a in own.leaks(batch["words"].tolist(), length)]
+                made = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "_key"])
+                yield made.assign(doc_id=[None if x is None else int(x) for x in made["doc_id"]]).astype({"doc_id": "Int64", "item_id": "Int64", "_key": "int64"})
 
         part = words.mapInPandas(run, out)
         found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], out)
+    return spark.createDataFrame([], out) if found is None else found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """doc_id, item_id, score (BM25 over what a leak needs at least), question_overlap,
+    answer_overlap of every leak."""
+    found = _found(docs, benchmark, least, shard_postings).drop("_key")
     nth = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap")))
     return found.withColumn("_nth", nth).filter("_nth = 1").drop("_nth").withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs less the documents that leak an item."""
-    gone = staged(leaks(docs.select("doc_id", "text"), benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs less the documents (doc_id and text) that leak an item."""
+    gone = staged(_found(docs.select("doc_id", "text"), benchmark, **how).select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_k")).distinct(), "leaks")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_k"]), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,13 @@ def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_takes_the_article_whole():
+    long = "<p>" + ("a, " * 5 + "word " * 57) + "</p>"
+    page = f"<article><h1>T</h1><div class=wrap>{long * 10}</div><p>Short end.</p><h3>Sub</h3><ul>{'<li>item</li>' * 10}</ul></article>"
+    text = html_extract.main_text(page)
+    assert text.startswith("T\n\n") and "Short end.\n\nSub\n\nitem" in text and text.count("item") == 10
+
+
 def test_warc_odd(spark):
     big, small = "x" * 2000, "y"
     pages = spark.createDataFrame([(1, "http://a", big), (2, "http://b", big), (3, "c", small), (4, None, small), (5, "e\nf", None), (None, "g", big), (9, "http://z", big)], "page_id long, url string, html string").withColumn("record_type", F.lit(0))
@@ -144,6 +151,36 @@ def test_licenses_beside_copyright(spark):
     assert got[1].dice == got[2].dice == got[6].dice == 1
 
 
+def test_licenses_amid_other_text(spark):
+    """Licences in their usual paragraphs, within longer documents."""
+    mit, apache, bsd2, bsd3 = (next(t.text for t in license_scan.TEMPLATES if t.license == n and len(t.text) > 200) for n in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause"))
+
+    def parted(text, breaks):
+        w = text.split()
+        cuts = [0, *[int(len(w) * b) for b in breaks], len(w)]
+        return "\n\n".join("\n".join(" ".join(w[i : min(i + 9, hi)]) for i in range(lo, hi, 9)) for lo, hi in zip(cuts, cuts[1:], strict=False))
+
+    rng = random.Random(3)
+    prose = "\n\n".join("\n".join(" ".join(rng.choice("of the to use code and any this page software work in is".split()) for _ in range(9)) for _ in range(4)) for _ in range(30))
+    rows = {
+        1: (f"{prose}\n\n{parted(mit, [0.3, 0.6])}\n\n{prose}", {"MIT": 1}),
+        2: (f"{prose}\n\n{parted(apache, [0.35, 0.5])}\n\n{prose}", None),
+        3: (f"{prose}\n\n{parted(bsd3, [0.1, 0.2, 0.4, 0.5])}\n\n{prose}\n\n{parted(mit, [0.4])}", {"BSD-3-Clause": 1, "MIT": 1}),
+        4: (f"{prose}\n\n{parted(bsd2, [0.1, 0.2, 0.4])}\n\n{prose}\n\n{parted(bsd2.rsplit(' ', 12)[0], [0.5])}\n\n{prose}\n\n{parted(bsd2, [0.5])}", {"BSD-2-Clause": 2}),
+        5: (f"{prose}\n\n{' '.join(mit.split()[:60])}\n\n{prose}", {}),
+        6: (prose, {}),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for k, (_, want) in rows.items():
+        if want is not None:
+            assert (got[k].licenses, got[k].n_license_spans) == (",".join(sorted(want)), sum(want.values())), k
+    assert got[2].license == "Apache-2.0" and got[1].dice == got[4].dice == 1 and got[2].dice == 1
+    # Found by itself already: neighbours do not make it a second span.
+    one = spark.createDataFrame([(1, "a b\n\nReleased under the MIT License.\n\nc under the d")], "doc_id long, text string")
+    assert license_scan.scan(one).first().n_license_spans == 1
+
+
 def brute_leaks(texts, items):
     """Every window of every text against every item, without an index."""
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
@@ -249,6 +286,20 @@ def test_bag_minhash_estimates_weighted_jaccard():
     assert abs(np.mean(est) - sum((x & y).values()) / sum((x | y).values())) < 0.04
 
 
+def test_texts_of_one_id_are_apart(spark):
+    """A null or repeated doc_id: only the texts that leak, or that copy another, go."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.orderBy(F.length("text").desc()).first().text
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(80)) for _ in range(3))
+    rows = [(None, item), (None, a), (7, item), (7, b)]
+    left = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("None", a), ("7", b)])
+    rows = [(1, a), (7, a), (7, b), (7, c), (7, c), (None, item)]
+    left = bag_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text for r in left.collect()) == sorted([a, b, c, item])
+
+
 def test_url_filter_is_brute_force():
     rng = random.Random(6)
     globs = ["a*b", "**/x", "?b**", "", "**", "a?*c/**d", "*.*"] + ["".join(rng.choice("ab/?*") for _ in range(rng.randrange(9))) for _ in range(60)]
