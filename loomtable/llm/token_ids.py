@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, new_folder, staged, table
 
 MAGIC, HEAD, DOC = b"LOOMIDS1", struct.Struct("<8sQQI3I"), np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
-FILE_BYTES = 64 << 20
-KEPT = 400_000
+FILE_BYTES = 16 << 20
+#: Of a Python worker: characters encoded at once, stretches kept, stretches to the library at once.
+SLICE, KEPT, CALL = 1_000_000, 200_000, 2_000
 
 #: By control byte: the lengths of its four numbers.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -92,29 +93,43 @@ def of_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 class WordEncoder:
     """The tokenizers library over the stretches between spaces, each encoded once: its
-    pre-tokens hold no white space, so a text's ids are those of its stretches in a row."""
+    pre-tokens hold no white space, nor do its special tokens, so a text's ids are those of
+    its stretches in a row.
+
+    Texts are worked on in slices of about `SLICE` characters. Of the ids kept from earlier
+    slices, at most about `KEPT` stretches stay: beyond it, those of the last slice alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        some: list[list[str]] = []
+        size = 0
+        for text in texts:
+            some.append((text or "").replace("\n", " ").split(" "))
+            size += len(text or "")
+            if size >= SLICE:
+                yield from self._slice(some)
+                some, size = [], 0
+        yield from self._slice(some)
+
+    def _slice(self, some: list[list[str]]) -> Iterator[bytes]:
         known = self.known
-        out = []
-        for words in split:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        own = set().union(*some)
+        new = [w for w in own if w not in known]
+        if len(known) + len(new) > KEPT:
+            self.known = known = {w: known[w] for w in own if w in known}
+        for lo in range(0, len(new), CALL):
+            part = new[lo : lo + CALL]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        for words in some:
+            yield b"".join(map(known.__getitem__, words))
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
@@ -125,7 +140,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = kept_in_worker(tokenizer_path, lambda: WordEncoder(tokenizer_path))
         for batch in batches:
-            yield pd.Series([ids + end for ids in encoder.encode(batch.tolist())], dtype=object)
+            yield pd.Series([ids + end for ids in encoder.encode(batch)], dtype=object)
 
     return docs.select("doc_id", run(docs["text"]).alias("ids"))
 

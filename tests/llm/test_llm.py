@@ -52,7 +52,6 @@ def test_token_ids(docs, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = {r.doc_id: r for r in registry.queries()["op2_token_ids"](spark, SF).collect()}
     start = 0
     for doc_id, text in sorted(texts_of(docs).items()):
@@ -62,6 +61,33 @@ def test_token_ids(docs, spark):
         start += len(ids)
 
 
+def test_token_ids_equal_the_library(spark, monkeypatch):
+    """Special strings, white space of all kinds, case, repeats and ties; many files, few ids kept."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    signs = ["hello", "<|endoftext|>", "<|startoftext|>x", " ", "\t", "\u00a0", "\u2003", "\n", "\r\n", "e\u0301", "\u0301", "\u03a3\u03a3", "\u0130", "it's", "'S", "12", "\u4e2d\u6587", "\x00", "?!", "<|", "|>", "\U0001f642"]
+    rows = [(i, "".join(rng.choice(signs) + rng.choice(["", " "]) for _ in range(rng.randrange(60)))) for i in range(200)]
+    rows += [(3, rows[3][1]), (5, None), (200, "hello <|endoftext|> world")]
+    monkeypatch.setattr(token_ids, "FILE_BYTES", 3000)
+    encoder = token_ids.WordEncoder(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_ids, "KEPT", 20)
+    monkeypatch.setattr(token_ids, "SLICE", 300)
+    plain = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for _, x in rows]
+    assert list(encoder.encode([x for _, x in rows])) == plain and [3306, 49407, 1002] == t.encode(rows[-1][1], add_special_tokens=False).ids
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = token_ids.new_folder(spark, "token-ids")
+    manifest = token_ids.write(token_ids.encoded(df, P.path("word_bpe_49k.json")), folder, 3)
+    assert manifest.count() > 5  # files rolled
+    start = 0
+    want = sorted((d, p + b"\x01\0\0\0") for (d, _), p in zip(rows, plain, strict=True))
+    got = sorted(token_ids.read(manifest, folder).collect(), key=lambda r: r.start)
+    for r, (doc_id, ids) in zip(got, want, strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (doc_id, start, len(ids) // 4, ids)
+        start += len(ids) // 4
+
+
 def test_token_ids_odd(odd):
     out = token_ids.round_trip(odd, P.path("word_bpe_49k.json")).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (1, 2, 3)} == {1}
