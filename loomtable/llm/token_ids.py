@@ -29,11 +29,13 @@ empty table has no files and no rows. Columns besides doc_id and text are not re
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,8 +46,13 @@ from .common import kept_in_worker, new_folder, staged, table
 
 MAGIC, HEAD, DOC = b"LOOMIDS1", struct.Struct("<8sQQI3I"), np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 FILE_BYTES = 16 << 20
-#: Of a Python worker: characters encoded at once, stretches kept, stretches to the library at once.
-SLICE, KEPT, CALL = 1_000_000, 200_000, 2_000
+KEPT = 400_000  # pre-tokens and their ids that a Python worker keeps
+
+#: Finds a sign outside the plain ones: printable ASCII with tab and line ends, Latin letters
+#: and signs below U+0250 (all in composed form), dashes, quotation marks and their like.
+UNPLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]").search
+#: The printable sign that byte-level pre-tokenizers write for each byte.
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
 #: By control byte: the lengths of its four numbers.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -92,67 +99,103 @@ def of_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """The tokenizers library over the stretches between spaces, each encoded once: its
-    pre-tokens hold no white space, nor do its special tokens, so a text's ids are those of
-    its stretches in a row.
+    """Texts by the parts of the tokenizers library, each pre-token through its model once.
+
+    Of texts in plain signs (`PLAIN`), where lower case, composed forms and the classes of
+    the tokenizer's own pattern are the same in Python and in the library, the pre-tokens are
+    found by that pattern in Python. Other texts, those with a special token in them, and all
+    of a tokenizer of another make, are cut at spaces and each stretch goes to the library
+    whole: neither pre-tokens nor special tokens hold white space.
 
-    Texts are worked on in slices of about `SLICE` characters. Of the ids kept from earlier
-    slices, at most about `KEPT` stretches stay: beyond it, those of the last slice alone."""
+    Of the ids kept from earlier texts, `KEPT` entries stay at most."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        some: list[list[str]] = []
-        size = 0
-        for text in texts:
-            some.append((text or "").replace("\n", " ").split(" "))
-            size += len(text or "")
-            if size >= SLICE:
-                yield from self._slice(some)
-                some, size = [], 0
-        yield from self._slice(some)
-
-    def _slice(self, some: list[list[str]]) -> Iterator[bytes]:
-        known = self.known
-        own = set().union(*some)
-        new = [w for w in own if w not in known]
-        if len(known) + len(new) > KEPT:
-            self.known = known = {w: known[w] for w in own if w in known}
-        for lo in range(0, len(new), CALL):
-            part = new[lo : lo + CALL]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
-        for words in some:
-            yield b"".join(map(known.__getitem__, words))
+        self.model = self.tokenizer.model
+        self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.pack = {"<u2": "H", "<u4": "I"}[self.code]
+        with open(path) as f:
+            made = json.load(f)
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.find = self._pattern(made)
+        self.pieces, self.stretches = Kept(self._piece), Kept(self._stretch)
+
+    @staticmethod
+    def _pattern(made: dict) -> Callable[[str], list[str]] | None:
+        """What finds pre-tokens in lower-cased plain text, if the tokenizer's steps are of the
+        make that plain texts allow."""
+        import regex
+
+        normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        split, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        fits = normal == ["NFC", "Replace", "Lowercase"] and made["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and made["normalizer"]["normalizers"][1]["content"] == " "
+        fits = fits and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and [r["type"] for r in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]).findall if fits and not made["post_processor"] else None
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
+
+    def _stretch(self, stretch: str) -> bytes:
+        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, as little-endian unsigned integers of `code`."""
+        if not text:
+            return b""
+        if self.find and not UNPLAIN(text) and not any(t in text for t in self.special):
+            return b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
+        return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class Kept(dict):
+    """What make gave by its argument. Of KEPT entries at most, half are the latest ones asked
+    for, half those before; what is asked for again becomes a late one."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= KEPT // 2:
+            self.before = dict(self)
+            self.clear()
+        made = self.before.get(key)
+        self[key] = made = self.make(key) if made is None else made
+        return made
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, ids: a row for each row of docs (doc_id, text)."""
-    end = struct.pack("<I", end_id)
+    """doc_id, ids: a row for each row of docs (doc_id, text). ids are 16-bit integers if the
+    vocabulary allows, else 32-bit ones, as `id_code` of the tokenizer says."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = kept_in_worker(tokenizer_path, lambda: WordEncoder(tokenizer_path))
+        end = struct.pack(f"<{encoder.pack}", end_id)
         for batch in batches:
-            yield pd.Series([ids + end for ids in encoder.encode(batch)], dtype=object)
+            yield pd.Series([encoder.encode(text) + end for text in batch], dtype=object)
 
     return docs.select("doc_id", run(docs["text"]).alias("ids"))
 
 
-def counts(rows: DataFrame) -> DataFrame:
+def id_code(tokenizer_path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def counts(rows: DataFrame, code: str = "<u4") -> DataFrame:
     """id, n over all rows; every task sums its own first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids, "<u4"))
+                found = np.bincount(np.frombuffer(ids, code))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found
@@ -168,16 +211,16 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write(rows: DataFrame, folder: str, n_files: int) -> DataFrame:
-    """Files of rows (doc_id, ids) in folder; the manifest: file, first (place of the file
+def write(rows: DataFrame, folder: str, n_files: int, code: str = "<u4") -> DataFrame:
+    """Files of rows (doc_id, ids as integers of code) in folder; the manifest: file, first (place of the file
     in doc_id order), n_docs, n_ids, n_bytes."""
-    ranked = [r["id"] for r in counts(rows).orderBy(F.desc("n"), "id").select("id").collect()]  # the vocabulary at most
+    ranked = [r["id"] for r in counts(rows, code).orderBy(F.desc("n"), "id").select("id").collect()]  # the vocabulary at most
     known = rows.sparkSession.sparkContext.broadcast(np.array(ranked, "<u4"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        ids_of = known.value
+        ids_of, width = known.value, np.dtype(code).itemsize
         rank_of = np.zeros(int(ids_of.max()) + 1 if len(ids_of) else 1, np.uint32)
         rank_of[ids_of] = np.arange(len(ids_of), dtype=np.uint32)
         store, base = _store(folder)
@@ -189,7 +232,7 @@ def write(rows: DataFrame, folder: str, n_files: int) -> DataFrame:
 
         def close() -> None:
             nonlocal docs, held, size
-            numbers = rank_of[np.frombuffer(b"".join(held), "<u4")]
+            numbers = rank_of[np.frombuffer(b"".join(held), code)]
             raw = to_file(docs, numbers, ids_of)
             name = f"{base}/_tmp-{part:06d}-{len(made):04d}-{attempt}"
             with store.open_output_stream(name) as out:
@@ -199,7 +242,7 @@ def write(rows: DataFrame, folder: str, n_files: int) -> DataFrame:
 
         for batch in batches:
             for doc_id, is_known, ids in zip(batch["doc_id"], batch["known"], batch["ids"], strict=True):
-                docs.append((int(doc_id), int(is_known), len(ids) // 4))
+                docs.append((int(doc_id), int(is_known), len(ids) // width))
                 held.append(ids)
                 size += len(ids)
                 if size >= FILE_BYTES:
@@ -258,7 +301,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, n_files: i
     spark: SparkSession = docs.sparkSession
     rows = staged(encoded(docs, tokenizer_path, end_id), "ids-encoded")
     folder = new_folder(spark, "token-ids")
-    manifest = write(rows, folder, n_files or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    manifest = write(rows, folder, n_files or int(spark.conf.get("spark.sql.shuffle.partitions")), id_code(tokenizer_path))
     return read(manifest, folder)
 
 
