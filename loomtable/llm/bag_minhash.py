@@ -14,18 +14,25 @@ can change. All texts of a batch are worked on at once in numpy.
 
 Candidates. Signatures of 128 slots are cut into 32 bands of 4 (a pair at 0.8 is missed with
 a chance of 5e-8). Equal texts are one node. Texts that share a band are a bucket: in those
-of up to `small` texts every pair is compared; in larger ones every text with the least id
-of the bucket. After that, what remains unlinked to that id's component in a larger bucket is
-compared, in blocks of `block` texts, with all of the bucket: the exact rest, so no link
-between different components is lost. Comparing is by the shingles (32-bit hashes, each
-occurrence one feature), not by signatures.
+of up to `small` texts every pair is compared; in larger ones every text with the bucket's
+hub, the text that shares most (its buckets' sizes summed, then the least id): the original
+of a group of copies is such a one, and mostly the hub of all its buckets. Comparing is by
+the shingles (32-bit hashes, each occurrence one feature), not by signatures: two texts of
+500 words share a feature by chance once in 17,000 pairs, which moves a similarity by 0.001.
+
+The exact rest. Texts of a hub that are not in the hub's component may still be alike to
+others of it. Distances (one less the similarity) keep the triangle inequality, so two texts
+can only be linked if their known distances to the hub differ by 0.2 at most: they stand in
+the same or in neighbouring cells of that width. Cells with such texts are dealt in blocks of
+at most `block` texts and `BLOCK_BYTES`, and a task compares a block's rest with the others
+by an inverted index of their features. So no link between different components is lost.
 
 Classes are the components of the links. Nothing of the corpus is collected to the driver.
 
 Results of the odd cases: null and empty texts are equal texts of one class; texts without
-letters or digits have no shingles and join only their exact copies; rows with equal doc_id
-are one document; a null doc_id takes a negative id from its text. Columns of the input
-besides doc_id and text are not read.
+letters or digits have no shingles and join only their exact copies; a text's id is the least
+doc_id that has it; a null doc_id, and a doc_id whose least text (by MD5) is another one, take
+a negative id from the text. Columns of the input besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table, text_key
+from .common import staged, table
 from .components import components
 
 SLOTS, ROWS, WORDS, LEAST = 128, 4, 5, 0.8
-SMALL, BLOCK = 8, 256
+SMALL, BLOCK, BLOCK_BYTES = 8, 1024, 16 << 20
 STEP_WORDS = 500_000  # of a batch worked on at once
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,37 +185,37 @@ def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def block_links(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """Links among rows (id, component, features) that join different components, as many
-    as it takes to join them. Shared features are columns of a 0/1 matrix; its products
-    with its own transpose, some columns at a time, count what each pair shares."""
+def rest_links(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """Links of the rest with others among rows (id, component, rest, low, d, features), as many
+    as it takes to join their components. Of two rows one must be low, and one of the rest."""
+    ids, components, d = rows["id"].to_numpy(), rows["component"].tolist(), rows["d"].to_numpy()
+    rest, low = rows["rest"].to_numpy(bool), rows["low"].to_numpy(bool)
     x = [np.frombuffer(f, "<u4") for f in rows["features"]]
     sizes = np.array([len(f) for f in x])
-    values, inverse, count = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(x)), sizes)
-    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[inverse]
-    owner, column = owner[column >= 0], column[column >= 0]
-    same = np.zeros((len(x), len(x)), np.float32)
-    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
-        inside = (column >= lo) & (column < lo + 4096)
-        m = np.zeros((len(x), 4096), np.float32)
-        m[owner[inside], column[inside] - lo] = 1
-        same += m @ m.T
-    alike = same >= least * (sizes[:, None] + sizes[None, :] - same) - 1e-6
-    root = {c: c for c in rows["component"]}
+    values = np.concatenate(x)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(x), dtype=np.int32), sizes)[order]
+    root = {c: c for c in components}
 
     def find(c: int) -> int:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
-    ids, comps = rows["id"].tolist(), rows["component"].tolist()
     found = []
-    for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
-        a, b = find(comps[i]), find(comps[j])
-        if a != b:
-            root[a] = b
-            found.append((ids[i], ids[j]))
+    for i in np.flatnonzero(rest):
+        near = (low | low[i]) & (np.abs(d - d[i]) <= 1 - least + 1e-6) & (sizes >= least * sizes[i] - 1e-6) & (sizes * least <= sizes[i] + 1e-6)
+        near[i] = False
+        if not near.any():
+            continue
+        lo, hi = np.searchsorted(values, x[i], "left"), np.searchsorted(values, x[i], "right")
+        n = hi - lo
+        shared = np.bincount(owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)], minlength=len(x))
+        for j in np.flatnonzero(near & (shared >= least * (sizes + sizes[i] - shared) - 1e-6)):
+            a, b = find(components[i]), find(components[j])
+            if a != b:
+                root[a] = b
+                found.append((int(ids[i]), int(ids[j])))
     return found
 
 
@@ -216,72 +223,87 @@ def own_id() -> Column:
     return F.coalesce("doc_id", -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
 
 
+def text_hash() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def classes(docs: DataFrame, least: float = LEAST, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, _id, class_id for every row of docs (doc_id, text). class_id is the least
-    doc_id of the class."""
-    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = staged(docs.select("doc_id", own_id().alias("_id"), key.alias("_text"), bands_of(word_hashes(F.col("text"))).alias("bands")), "near-bands")
-    node = staged(rows.groupBy("_text").agg(F.min("_id").alias("node")), "near-nodes")
-    placed = rows.select("doc_id", "_id", "_text").join(node, "_text")
-    banded = rows.join(node, "_text").filter("_id = node").select(F.col("_id").alias("id"), F.explode("bands").alias("band"))
-    banded = staged(banded.distinct(), "near-banded")
-    buckets = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1"), "near-buckets")
-
-    members = banded.join(buckets, "band")
-    stars = members.filter((F.col("n") > small) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    """doc_id, _text (hash of the text), first (is this the doc_id that its text is known by?),
+    node (the text's id), class_id for every row of docs (doc_id, text). class_id is the least
+    id of the class."""
+    rows = staged(docs.select("doc_id", own_id().alias("_id"), text_hash().alias("_text"), bands_of(word_hashes(F.col("text"))).alias("bands")), "near-bands")
+    nodes = rows.groupBy("_text").agg(F.min("_id").alias("_first"), F.first("bands").alias("bands"))
+    # Texts under one doc_id: all but the one of the least hash take an id of their own.
+    slim = rows.groupBy("_text").agg(F.min("_id").alias("_first"))
+    many = slim.groupBy("_first").agg(F.min("_text").alias("_least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    other = -1 - F.pmod(F.xxhash64("_text"), F.lit(1 << 62))
+    nodes = staged(nodes.join(many, "_first", "left").withColumn("node", F.when(F.col("_text") != F.col("_least"), other).otherwise(F.col("_first"))).drop("_least"), "near-nodes")
+
+    banded = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("band")).distinct()
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = staged(banded.join(buckets, "band"), "near-members")
+    large = members.filter(F.col("n") > small)
+    shares = large.groupBy("id").agg(F.sum("n").alias("shares"))
+    large = large.join(shares, "id")
+    hubs = large.groupBy("band").agg(F.max(F.struct("shares", (-F.col("id")).alias("id"))).alias("most")).select("band", (-F.col("most.id")).alias("hub"))
+    stars = staged(large.select("band", "id").join(hubs, "band").filter("id <> hub").select("hub", "id").distinct(), "near-stars")
     each = members.filter(F.col("n") <= small).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pairs = each.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    candidates = staged(stars.union(pairs).distinct(), "near-pairs")
+    candidates = staged(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).union(pairs).distinct(), "near-pairs")
 
-    used = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(own_id().alias("id"), "text").join(used, "id", "left_semi")
-    known = staged(texts.select("id", features_of(word_hashes(F.col("text"))).alias("features")).dropDuplicates(["id"]), "near-features")
+    used = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
+    used = nodes.select("node", "_first", "_text").join(used, "node", "left_semi")
+    texts = docs.select(own_id().alias("_first"), text_hash().alias("_text"), "text").join(used, ["_first", "_text"])
+    known = staged(texts.select(F.col("node").alias("id"), features_of(word_hashes(F.col("text"))).alias("features")).dropDuplicates(["id"]), "near-features")
     a, b = known.toDF("a", "fa"), known.toDF("b", "fb")
-    links = staged(candidates.join(a, "a").join(b, "b").filter(similarity_of("fa", "fb") >= least).select("a", "b"), "near-links")
+    compared = staged(candidates.join(b, "b").join(a, "a").select("a", "b", similarity_of("fa", "fb").alias("s")), "near-compared")
+    links = compared.filter(F.col("s") >= least).select("a", "b")
     found = staged(components(links), "near-components")
 
-    # The exact rest of larger buckets: texts outside the component of the bucket's first one.
-    large = banded.join(buckets.filter(F.col("n") > small), "band").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = found.toDF("head", "head_component")
-    large = staged(large.join(heads, "head", "left").withColumn("rest", F.col("component") != F.coalesce("head_component", "head")).select("band", "id", "component", "rest"), "near-large")
-    sizes = staged(large.groupBy("band").agg(F.sum(F.col("rest").cast("long")).alias("n_rest"), F.sum((~F.col("rest")).cast("long")).alias("n_others")).filter("n_rest > 1 OR (n_rest = 1 AND n_others > 1)"), "near-rests")
-    if not sizes.isEmpty():
-        blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / (block // 2))).cast("long")
-        mixed = large.join(sizes, "band").withColumns({"r": blocks("n_rest"), "o": blocks("n_others")})
-        mixed = mixed.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("o"))))
-        # A block of the rest meets every block of the others, and every block of the rest once.
-        with_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("o") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.col("mine").alias("x"), o.alias("y")))
-        with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda r: F.struct(F.lit(1).alias("kind"), F.least("mine", r).alias("x"), F.greatest("mine", r).alias("y")))
-        from_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda r: F.struct(F.lit(0).alias("kind"), r.alias("x"), F.col("mine").alias("y")))
-        meets = F.when(F.col("rest"), F.concat(with_others, with_rest)).otherwise(from_others)
-        dealt = mixed.select("id", "component", "band", F.explode(meets).alias("at")).select("id", "component", "band", "at.*")
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(block_links(group, least), columns=["a", "b"], dtype="int64")
-
-        more = dealt.join(known, "id").groupBy("band", "kind", "x", "y").applyInPandas(compare, "a long, b long")
-        links = staged(links.union(more), "near-links")
-        found = staged(components(links), "near-components")
-    return placed.join(found.toDF("node", "component"), "node", "left").select("doc_id", "_id", F.coalesce("component", "node").alias("class_id"))
-
-
-def with_own_ids(docs: DataFrame) -> DataFrame:
-    """docs with _own: an id for each doc_id and text, the doc_id itself for the only (or
-    first) text of a doc_id."""
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    many = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).filter("_least <> _most").drop("_most")
-    other = -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
-    joined = rows.join(many, rows["doc_id"] == many["_of"], "left")
-    return joined.withColumn("_own", F.when(F.col("_key") != F.col("_least"), other).otherwise(own_id())).drop("_of", "_key", "_least")
+    # The exact rest: texts of a hub outside its component, and what may be linked with them.
+    of_hub = stars.join(compared.select(F.col("a").alias("hub"), F.col("b").alias("id"), "s"), ["hub", "id"])
+    mine = found.toDF("id", "component")
+    placed = of_hub.join(mine, "id", "left").join(found.toDF("hub", "hub_component"), "hub", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.select("hub", "id", "component", (1 - F.col("s")).alias("d"), (F.col("component") != F.coalesce("hub_component", "hub")).alias("rest"))
+    cell = F.floor(F.col("d") / (1 - least) + 1e-9).cast("int")
+    celled = placed.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("low", F.col("cell") == cell)
+    celled = staged(celled.join(known.select("id", F.length("features").alias("bytes")), "id"), "near-cells")
+    total = lambda of, what: F.sum(F.when(of, what).otherwise(0))
+    blocks = lambda of: F.greatest(F.ceil(total(of, F.lit(1)) / block), F.ceil(total(of, F.col("bytes")) / BLOCK_BYTES)).cast("long")
+    sizes = celled.groupBy("hub", "cell").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("o")).filter("r > 0")
+    mixed = celled.join(sizes, ["hub", "cell"])
+    mixed = mixed.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("o"))))
+    # A block of the rest meets every block of the others, and every block of the rest once.
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n)
+    with_others = F.transform(upto(F.col("o")), lambda o: F.struct(F.lit(0).alias("kind"), F.col("mine").alias("x"), o.alias("y")))
+    with_rest = F.transform(upto(F.col("r")), lambda r: F.struct(F.lit(1).alias("kind"), F.least("mine", r).alias("x"), F.greatest("mine", r).alias("y")))
+    from_others = F.transform(upto(F.col("r")), lambda r: F.struct(F.lit(0).alias("kind"), r.alias("x"), F.col("mine").alias("y")))
+    dealt = mixed.select("id", "component", "d", "rest", "low", "hub", "cell", F.explode(F.when(F.col("rest"), F.concat(with_others, with_rest)).otherwise(from_others)).alias("at")).select("*", "at.*").drop("at")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(rest_links(group, least), columns=["a", "b"], dtype="int64")
+
+    more = staged(dealt.join(known, "id").groupBy("hub", "cell", "kind", "x", "y").applyInPandas(compare, "a long, b long"), "near-more")
+    # Components of components: few, as only these links are new.
+    joined = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    outer = components(joined) if not more.isEmpty() else joined.limit(0)
+    own = nodes.select("node", "_text", "_first").join(found.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = own.join(outer.toDF("component", "outer"), "component", "left").select("_text", "node", "_first", F.coalesce("outer", "component").alias("class_id"))
+    return rows.select("doc_id", "_id", "_text").join(own, "_text").select("doc_id", "_text", (F.col("_id") == F.col("_first")).alias("first"), "node", "class_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs less all but one document (doc_id and text) of each class: the one whose id is the
-    class's."""
-    rows = with_own_ids(docs)
-    gone = staged(classes(rows.select(F.col("_own").alias("doc_id"), "text"), **how).filter("_id <> class_id").select(F.col("_id").alias("_own")).distinct(), "near-gone")
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy("text"))
-    left = rows.join(gone, "_own", "left_anti").withColumn("_nth", nth).filter("_nth = 1")
+    class's. Of rows with its doc_id and text, one stays."""
+    key = ["doc_id", "_text"]
+    state = classes(docs.select("doc_id", "text"), **how).groupBy(*key).agg(F.max(F.col("first") & (F.col("node") == F.col("class_id"))).alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1")
+    state = staged(state.select(F.col("doc_id").alias("_of"), F.col("_text").alias("_t"), "stays"), "near-state")
+    rows = docs.withColumn("_text", text_hash())
+    same = rows["doc_id"].eqNullSafe(state["_of"]) & (rows["_text"] == state["_t"])
+    left = rows.join(state, same, "left_anti")
+    twice = state.filter("stays")
+    if not twice.isEmpty():
+        left = left.union(rows.join(twice, same, "left_semi").dropDuplicates(key))
     return left.select(*docs.columns)
 
 

@@ -295,6 +295,25 @@ def test_near_duplicates(docs, odd):
     assert len(got) == len(ODD) and len({r.class_id for r in got if r.doc_id in (5, 7)}) == 1
     assert bag_minhash.keep_one(odd).count() == 7
     assert bag_minhash.classes(odd.limit(0)).count() == 0
+    unlike = odd.sparkSession.createDataFrame([(1, "one two three four five six"), (1, "alpha beta gamma delta epsilon zeta"), (2, "p q r s t u v w x y z")], "doc_id long, text string").withColumn("class_id", F.lit("mine"))
+    assert bag_minhash.keep_one(unlike).count() == 3 and len({r.class_id for r in bag_minhash.classes(unlike).collect()}) == 3
+
+
+def test_near_duplicates_of_a_hot_group(spark):
+    """Copies of one text that is not among them, at similarities around the threshold."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = {}
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts[i + 1] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert 1 < len(set(want.values())) < 200
+    for block in (1024, 16):
+        assert {r.doc_id: r.class_id for r in bag_minhash.classes(df, block=block).collect()} == want
 
 
 def test_bag_minhash_estimates_weighted_jaccard():
