@@ -244,8 +244,7 @@ def classes(docs: DataFrame, least: float = LEAST, small: int = SMALL, block: in
     members = staged(banded.join(buckets, "band"), "near-members")
     large = members.filter(F.col("n") > small)
     shares = large.groupBy("id").agg(F.sum("n").alias("shares"))
-    large = large.join(shares, "id")
-    hubs = large.groupBy("band").agg(F.max(F.struct("shares", (-F.col("id")).alias("id"))).alias("most")).select("band", (-F.col("most.id")).alias("hub"))
+    hubs = large.join(shares, "id").groupBy("band").agg(F.max(F.struct("shares", (-F.col("id")).alias("id"))).alias("most")).select("band", (-F.col("most.id")).alias("hub"))
     stars = staged(large.select("band", "id").join(hubs, "band").filter("id <> hub").select("hub", "id").distinct(), "near-stars")
     each = members.filter(F.col("n") <= small).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pairs = each.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
