@@ -4,10 +4,15 @@ A page becomes a tree of elements. Subtrees that are never article text are cut:
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by tag,
 role, or a word of their class or id. Every block of running text then passes points to
 the elements around it: one, one for each comma, and one for each hundred characters up to
-three; the parent gets them whole, the grandparent half, the k-th above it 1/(3k). An
-element's points are discounted by the share of its text that stands in links. The best
-element, or the article or main element around it, and those of its siblings that score well
-beside it are the article.
+three; the parent gets them whole, the grandparent half, the k-th above it 1/(3k), up to
+`LEVELS` above. An element's points are discounted by the share of its text that stands in
+links. The best element, or the article or main element around it, is the article, with those
+of its siblings that score well beside it and what stands between these; headings, lists,
+tables, paragraphs and bare text beside it stay unless they are mostly links.
+
+An element is never cut for the words of its class or id where it holds more than half of the
+page's text, unless they name reader comments. All passes are linear in the page: open tags
+are counted, sums go from the leaves up, nothing recurses.
 
 Results of the odd cases: null or empty html, and pages without text, give an empty text;
 text outside any element is a block of the page; unclosed elements end with their
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,48 +41,74 @@ SCOPE = frozenset("table td th caption html button object".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs combx comment comments commentlist community consent cookie cookies disclaimer disqus "
+    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs combx comment comments commentlist community consent cookie cookies discussion disclaimer disqus "
     "footer footnav foot gdpr header masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification alert pager pagination popup promo promoted promotion related remark replies reply respond "
-    "rss share sharing shoutbox sidebar sidebars sidenav skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar tracking warning widget widgets".split()
+    "response responses rss share sharing shoutbox sidebar sidebars sidenav skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar tracking warning widget widgets".split()
 )
+#: Words that name what readers wrote: cut however long it is.
+READERS = frozenset("combx comment comments commentlist discussion disqus replies reply respond response responses shoutbox".split())
 LIKELY = frozenset("article articlebody body content entry hentry main page post story text".split())
+#: Elements kept beside the best one unless they are mostly links.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure center".split())
+LEVELS = 20
 CUT_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAMES = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "cut", "likely", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "cut", "soft", "likely", "points", "own", "chars", "linked", "open")
 
-    def __init__(self, tag: str, parent: Element | None, cut: bool = False, likely: bool = False):
-        self.tag, self.parent, self.cut, self.likely = tag, parent, cut, likely
+    def __init__(self, tag: str, parent: Element | None, cut: bool = False, soft: bool = False, likely: bool = False):
+        self.tag, self.parent, self.cut, self.soft, self.likely = tag, parent, cut, soft, likely
         self.parts: list[Element | str] = []
-        self.points = 0.0
+        self.points = self.own = 0.0
         self.chars = self.linked = 0
+        # Which of the tags that others end are open from here up to the next scope.
+        above = 0 if parent is None or tag in SCOPE else parent.open
+        self.open = (above & ~BITS["li"] if tag in LISTS else above) | BITS.get(tag, 0)
+
 
+LISTS = frozenset(("ul", "ol", "menu"))
+#: By start tag: the open elements that it ends; a bit for each tag among them.
+ENDED = {tag: ENDS.get(tag, {"p"}) for tag in ENDS_P | ENDS.keys()}
+BITS = {tag: 1 << n for n, tag in enumerate(sorted(set().union(*ENDED.values())))}
+ENDED_BITS = {tag: sum(BITS[t] for t in ended) for tag, ended in ENDED.items()}
 
-def unlikely(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether to cut an element, and whether its names speak for article text."""
+
+def unlikely(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether to cut an element, whether only for its names, and whether these speak for
+    article text."""
     if tag in CUT or (tag == "header" and not inside_article):
-        return True, False
+        return True, False, False
     names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in CUT_ROLES:
-                return True, False
+                return True, False, False
         else:
             names.update(NAMES.findall(value))
     likely = bool(names & LIKELY)
-    return bool(names & UNLIKELY) and not likely and tag not in ("html", "body", "article", "main"), likely
+    cut = bool(names & UNLIKELY) and not likely and tag not in ("html", "body", "article", "main")
+    return cut, cut and not names & READERS, likely
 
 
 def parse(page: str) -> Element:
     root = top = Element("html", None)
     at = 0
-    n_articles = 0
+    opened: Counter[str] = Counter()
+
+    def close(node: Element) -> None:
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
+        opened[node.tag] -= 1
+        top = node.parent
+
     while at < len(page):
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -90,45 +122,68 @@ def parse(page: str) -> Element:
             continue
         tag = name.lower()
         if closing:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                while top is not node:
-                    n_articles -= top.tag in ("article", "main")
-                    top = top.parent
-                n_articles -= node.tag in ("article", "main")
-                top = node.parent
+            if opened[tag] > 0:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_P or tag in ENDS:
-            ended = {"p"} if tag in ENDS_P else ENDS[tag]
+        if top.open & ENDED_BITS.get(tag, 0):
             node = top
-            while node is not root and node.tag not in ended and node.tag not in SCOPE - ended and not (tag == "li" and node.tag in ("ul", "ol", "menu")):
+            while node.tag not in ENDED[tag]:
                 node = node.parent
-            if node.tag in ended:
-                top = node.parent
+            close(node)
         if tag in VOID:
             if tag == "br":
                 top.parts.append("\n")
             elif tag == "hr":
                 top.parts.append(Element("hr", top))
             continue
-        cut, likely = unlikely(tag, attributes or "", n_articles > 0)
+        cut, soft, likely = unlikely(tag, attributes or "", opened["article"] + opened["main"] > 0)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
+            end = RAW_ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if attributes.endswith("/") and tag not in BLOCK and tag != "a":  # <path/> of an image
             continue
-        node = Element(tag, top, cut, likely)
+        node = Element(tag, top, cut, soft, likely)
         top.parts.append(node)
         top = node
-        n_articles += tag in ("article", "main")
+        opened[tag] += 1
     return root
 
 
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*/?>", re.I) for tag in RAW}
+
+
+def elements(root: Element) -> list[Element]:
+    """All elements but those of cut subtrees (cut only for their names: they are among them),
+    each before those inside it."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.cut or node.soft:
+            out.append(node)
+            stack.extend(x for x in node.parts if isinstance(x, Element))
+    return out
+
+
+def keep_bulk(root: Element) -> None:
+    """Takes back cuts that only class words gave, of elements with most of the page's text."""
+    found = elements(root)
+    for node in reversed(found):
+        node.chars += sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        if node.parent is not None:
+            node.parent.chars += node.chars
+    half = root.chars / 2
+    for node in found:
+        if node.soft and node.chars > half:
+            node.cut = False
+        node.chars = 0
+
+
 def running(node: Element) -> Iterator[tuple[Element, str, bool]]:
     """Pieces of text in page order, each with its block element, and if it is in a link.
     A None text marks where a block begins or ends."""
@@ -147,6 +202,8 @@ def running(node: Element) -> Iterator[tuple[Element, str, bool]]:
                 stack.append((None, block, linked))
             linked = linked or part.tag == "a"
             stack.extend((x, own, linked) for x in reversed(part.parts))
+        elif part.tag in BLOCK:
+            yield block, None, linked
 
 
 def blocks(node: Element) -> Iterator[tuple[Element, str, int]]:
@@ -170,20 +227,24 @@ def blocks(node: Element) -> Iterator[tuple[Element, str, int]]:
 
 def score(root: Element) -> list[Element]:
     """The elements that got points, best first."""
-    scored: dict[int, Element] = {}
+    owners: dict[int, Element] = {}
     for owner, text, linked in blocks(root):
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
-        above = owner if owner.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "dt", "dd", "blockquote") else owner.parent or owner
-        level, node = 0, above
-        while node is not None:
-            node.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
+        above = owner if owner.tag not in TEXTUAL else owner.parent or owner
+        above.own += 1 + text.count(",") + min(len(text) // 100, 3)
+        owners[id(above)] = above
+        owner.chars += len(text)
+        owner.linked += linked
+    for node in reversed(elements(root)):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    scored: dict[int, Element] = {}
+    for node in owners.values():
+        own, level = node.own, 0
+        while node is not None and level <= LEVELS:
+            node.points += own if level == 0 else own / 2 if level == 1 else own / (3 * level)
             scored[id(node)] = node
             node, level = node.parent, level + 1
-        node = owner
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            node = node.parent
     for node in scored.values():
         if node.tag in ("article", "main") or node.likely:
             node.points += 25
@@ -191,10 +252,32 @@ def score(root: Element) -> list[Element]:
     return sorted(scored.values(), key=lambda x: -x.points)
 
 
+#: Elements of running text: their points begin at the element around them.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre dt dd blockquote".split())
+
+
+def beside(best: Element) -> list[Element | str]:
+    """What of best's parent belongs to the article, in page order."""
+    parts = [x for x in best.parent.parts if isinstance(x, str) or not x.cut]
+    least = max(10.0, best.points / 5)
+
+    def links(x: Element | str) -> float:
+        return 0.0 if isinstance(x, str) else x.linked / max(1, x.chars)
+
+    def fits(x: Element | str) -> bool:
+        if isinstance(x, str):
+            return True
+        return x is best or x.points >= least or (x.tag == best.tag and x.tag in ("article", "section")) or (x.tag in PLAIN and links(x) < 0.5) or x.tag not in BLOCK
+
+    certain = [i for i, x in enumerate(parts) if not isinstance(x, str) and fits(x)]
+    return [x for i, x in enumerate(parts) if fits(x) or (certain[0] < i < certain[-1] and links(x) < 0.5)]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    keep_bulk(root)
     ranked = score(root)
     if not ranked:
         return ""
@@ -205,17 +288,9 @@ def main_text(page: str | None) -> str:
     best = node or best  # an article is taken whole, whichever part of it scores best
     if best is root or best.parent is None:
         return "\n\n".join(text for _, text, _ in blocks(root))
-    least = max(10.0, best.points / 5)
-    kept = []
-    for part in best.parent.parts:
-        if part is best:
-            kept.append(part)
-        elif isinstance(part, Element) and not part.cut:
-            density = part.linked / max(1, part.chars)
-            same = part.tag == best.tag and part.tag in ("article", "section")
-            if part.points >= least or same or (part.tag in ("p", "pre", "blockquote") and part.chars > 80 and density < 0.25) or (part.tag in ("h1", "h2") and part.chars):
-                kept.append(part)
-    return "\n\n".join(text for part in kept for _, text, _ in blocks(part))
+    frame = Element("div", None)
+    frame.parts = beside(best)
+    return "\n\n".join(text for _, text, _ in blocks(frame))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

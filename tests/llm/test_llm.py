@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -139,6 +140,46 @@ def test_html_takes_the_article_whole():
     assert text.startswith("T\n\n") and "Short end.\n\nSub\n\nitem" in text and text.count("item") == 10
 
 
+BODY = "".join(f"<p>Words of passage {i}, and some more, so that it is read, again.</p>" for i in range(12))
+SAID = [f"Words of passage {i}, and some more, so that it is read, again." for i in range(12)]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div class='row header-fixed'>{BODY}</div></body>", SAID),  # a name that speaks against the text, but it is the text
+    (f"<div><div class=text>{BODY}</div><p>Short end.</p><h3>Sub</h3><ul><li>one</li><li>two</li></ul>bare words</div>", [*SAID, "Short end.", "Sub", "one", "two", "bare words"]),
+    (f"<main>{BODY}</main><section class='responses'>{BODY.replace('Words', 'Reader')}</section>", SAID),
+    (f"<div class=comments>{BODY * 3}</div><div class=story>{BODY}</div>", SAID),
+    (f"<div id=content>{BODY}</div><div><a href=x>one</a> <a href=y>two</a></div>", SAID),
+    (f"<div class='story'>{BODY}<div class='cookie-notice'><p>We use cookies.</p></div><form>f<input></form></div>", SAID),
+    (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{BODY}<footer>by</footer></article>", ["Title", *SAID]),
+    (f"<table><tr><td><ul><li><a href=a>m</a></ul><td>{BODY}</table>", SAID),
+    ("<article><p>a<p>b<li>c<li>d<br>e</article>", ["a", "b", "c", "d e"]),
+    ("<article><dl><dt>t<dd>d<dt>u<dd>v</dl></div></p></article>", ["t", "d", "u", "v"]),
+    ("<article><p>1 &lt; 2 &#x41;&#66;&nbsp;&eacute;&unknown;</p></article>", ["1 < 2 AB \u00e9&unknown;"]),
+    ("<article><pre>a\n\n  b</pre><p> \n </p><p>x<b>y</b>z <i> i </i></p></article>", ["a b", "xyz i"]),
+    ("<body>top<nav>n</nav>end", ["top", "end"]),
+])
+def test_html_keeps_the_whole_article(page, text):
+    assert html_extract.main_text(page).split("\n\n") == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "deep", "<p" * 40_000, "<p>x" * 40_000, "<table><td><p>" + "<div>x" * 20_000, "<div><li>x" * 20_000, "</b>" * 40_000 + "<div>" * 20_000 + "</i>" * 40_000, "<a '" * 20_000, "<!--" * 20_000, "<div class=ad>" * 20_000 + "<p>" + "x, " * 20_000])
+def test_html_is_linear(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_html_table(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "v", f"<article>{BODY}</article>"), (3, "v", f"<article>{BODY}</article>"), (4, "w", "<div>" * 40_000 + "deep &amp; long " * 10_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("mine"), "more": F.lit(7)})
+    out = sorted((r.page_id, r.text, r.n_chars, r.more) for r in html_extract.extract(pages).collect())
+    whole = "\n\n".join(SAID)
+    assert [x[0] for x in out] == [1, 2, 3, 3, 4] and out[2] == out[3] == (3, whole, len(whole), 7) and out[0][1:3] == out[1][1:3] == ("", 0)
+    assert out[4][1] == " ".join(["deep & long"] * 10_000)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 def test_warc_odd(spark):
     big, small = "x" * 2000, "y"
     pages = spark.createDataFrame([(1, "http://a", big), (2, "http://b", big), (3, "c", small), (4, None, small), (5, "e\nf", None), (None, "g", big), (9, "http://z", big)], "page_id long, url string, html string").withColumn("record_type", F.lit(0))
