@@ -19,13 +19,15 @@ blocks; a block whose block maxima, summed over all words of the passage, stay u
 skipped unread; in the others every posting is summed. Items at 1 or more are retrieved.
 
 Verification. Words of the item that stand in five-word shingles shared with the passage
-are covered. An item leaks if `least` of its question's words, or of all its words, are
-covered; the overlaps of question and answer are reported. Items of under five words must
-occur as a whole.
+are covered. An item leaks as a `whole` if `least` of all its words are covered, or as `both`
+if `least` of its question's and `least_answer` of its answer's words are. A passage that
+covers the question alone is reported apart, as `question`: it is no leak. Items of under
+five words must occur as a whole.
 
 Size. Document frequencies and lengths are those of all items. Items are dealt by hash over
-shards of about `shard_postings` postings, built by executors, and each shard is broadcast
-by itself: what a task holds is bounded however large the benchmark is. Texts never move.
+shards of about `shard_postings` postings, built by executors and written to the shared
+folder; a task hashes its texts once and reads the shards from there, one after the other.
+What a task holds is bounded however large the benchmark is; the driver holds none of it.
 
 Results of the odd cases: null and empty texts and items leak nothing; an empty benchmark
 finds nothing; rows with equal doc_id are judged alone and give their best row once; equal
@@ -43,9 +45,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bag_minhash import word_hashes
-from .common import staged, table, text_key
+from .common import kept_in_worker, new_folder, staged, table, text_key
 
-K1, B, LEAST, SHINGLE = 1.5, 0.75, 0.8, 5
+K1, B, LEAST, LEAST_ANSWER, SHINGLE = 1.5, 0.75, 0.8, 0.5, 5
+KINDS = ["question", "both", "whole"]
 BLOCK, SHARD_POSTINGS, PART_WORDS = 32, 2_000_000, 8
 STEP_WORDS = 300_000  # of passages worked on at once
 
@@ -71,8 +74,8 @@ class Index:
     """A shard of the index. items: (item_id, words, n_question) and the weights of their
     words (idf), avg: words of an item on average."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: dict[int, float], avg: float, least: float):
-        self.items, self.least = items, least
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: dict[int, float], avg: float, least: float, least_answer: float):
+        self.items, self.least, self.least_answer = items, least, least_answer
         terms, owners, impacts = [], [], []
         for place, (_, words, n_question) in enumerate(items):
             own, at, tf = np.unique(words, return_inverse=True, return_counts=True)
@@ -161,8 +164,8 @@ class Index:
         answer = covered[n_question:] if n_question < len(own) else covered
         return float(covered[:n_question].mean()), float(answer.mean()), float(covered.mean())
 
-    def leaks(self, texts: list[np.ndarray], length: int) -> Iterator[tuple[int, int, float, float, float]]:
-        """text's place, item, score, question and answer overlap of every leak; the best
+    def leaks(self, texts: list[np.ndarray], length: int) -> Iterator[tuple[int, int, float, float, float, str]]:
+        """text's place, item, score, question and answer overlap, kind of every leak; the best
         passage's for each text and item."""
         step: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -176,7 +179,7 @@ class Index:
         if step:
             yield from self._step(step, length)
 
-    def _step(self, step: list[tuple[int, np.ndarray]], length: int) -> Iterator[tuple[int, int, float, float, float]]:
+    def _step(self, step: list[tuple[int, np.ndarray]], length: int) -> Iterator[tuple[int, int, float, float, float, str]]:
         sizes = np.array([len(w) for _, w in step])
         words = np.concatenate([w for _, w in step])
         ends = np.cumsum(sizes)
@@ -195,20 +198,24 @@ class Index:
             start = int(p - first_slot[k]) * length
             question, answer, whole = self.overlap(step[k][1][start : start + 2 * length], int(item))
             if max(question, whole) >= self.least - 1e-9:
+                kind = 2 if whole >= self.least - 1e-9 else int(answer >= self.least_answer - 1e-9)
                 key = (step[k][0], int(item))
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0.0)), (whole, float(score), question, answer))
-        for (i, item), (_, score, question, answer) in best.items():
-            yield i, item, score, question, answer
+                best[key] = max(best.get(key, (0, 0.0, 0.0, 0.0, 0.0)), (kind, whole, float(score), question, answer))
+        for (i, item), (kind, _, score, question, answer) in best.items():
+            yield i, item, score, question, answer, KINDS[kind]
 
 
-def index(benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """shard, length (words of the longest item of all), index (pickled): a row a shard."""
+def index(benchmark: DataFrame, least: float = LEAST, least_answer: float = LEAST_ANSWER, shard_postings: int = SHARD_POSTINGS) -> tuple[str, int, int]:
+    """Folder of the index, its number of shards (none without items), and the words of the
+    longest item."""
     text = F.coalesce("text", F.lit(""))
     items = benchmark.select("item_id", word_hashes(text).alias("words"), word_hashes(F.regexp_extract(text, r"(?s)[.!?]\s+([^.!?]*(?:[.!?](?!\s+\S)[^.!?]*)*)$", 1)).alias("answer")).filter(F.size("words") > 0)
     last = F.when((F.size("answer") >= PART_WORDS) & (F.size("words") - F.size("answer") >= PART_WORDS), F.size("answer")).otherwise(0)
     items = staged(items.select(F.monotonically_increasing_id().alias("_i"), "item_id", "words", (F.size("words") - last).alias("n_question")), "leak-items")
     facts = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg"), F.max(F.size("words")).alias("length"), F.sum(F.size(F.array_distinct("words"))).alias("postings")).first()
-    n, avg, length, shards = facts["n"], facts["avg"] or 1.0, facts["length"] or 1, max(1, -(-(facts["postings"] or 0) // shard_postings))
+    if not facts["n"]:
+        return "", 0, 1
+    n, avg, length, shards = facts["n"], facts["avg"], facts["length"], -(-facts["postings"] // shard_postings)
     words = items.select("_i", F.explode(F.array_distinct("words")).alias("w"))
     weight = words.groupBy("w").agg(F.log(1 + (F.lit(n) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
     weighted = words.join(weight, "w").groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("w", "idf"))).alias("idf"))  # one item's words
@@ -218,49 +225,59 @@ def index(benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHAR
         idf: dict[int, float] = {}
         for m in part["idf"]:
             idf.update(m)
-        made = Index([(i if i is None or i != i else int(i), np.asarray(w, np.int64), int(q)) for i, w, q in zip(part["item_id"], part["words"], part["n_question"], strict=True)], idf, avg, least)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "length": [length], "index": [pickle.dumps(made)]})
-
-    return staged(rows.groupBy("shard").applyInPandas(build, "shard int, length int, index binary"), "leak-index")
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """The leaks of every row, with the row's text key in _key."""
-    spark = docs.sparkSession
-    shards = index(benchmark, least, shard_postings)
-    out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, _key long"
-    found = None
-    words = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), word_hashes(F.col("text")).alias("words"))
-    for (shard,) in shards.select("shard").orderBy("shard").collect():  # numbers of shards, each bounded
-        row = shards.filter(F.col("shard") == shard).first()
-        known, length = spark.sparkContext.broadcast(bytes(row["index"])), int(row["length"])
-
-        def run(batches: Iterator[pd.DataFrame], known=known, length=length) -> Iterator[pd.DataFrame]:
-            own = pickle.loads(known.value)
-            for batch in batches:
-                ids, keys = batch["doc_id"].tolist(), batch["_key"].tolist()
-                rows = [(ids[i], own.items[item][0], score, q, a, keys[i]) for i, item, score, q, a in own.leaks(batch["words"].tolist(), length)]
-                made = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "_key"])
+        made = Index([(i if i is None or i != i else int(i), np.asarray(w, np.int64), int(q)) for i, w, q in zip(part["item_id"], part["words"], part["n_question"], strict=True)], idf, avg, least, least_answer)
+        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "index": [pickle.dumps(made)]})
+
+    folder = new_folder(benchmark.sparkSession, "leak-index")
+    rows.groupBy("shard").applyInPandas(build, "shard int, index binary").write.partitionBy("shard").parquet(folder)
+    return folder, shards, length
+
+
+def _read_shards(folder: str, n: int) -> Iterator[Index]:
+    """The shards that hold items, one at a time."""
+    from pyarrow import dataset, fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    for k in range(n):
+        if store.get_file_info(f"{base}/shard={k}").type != fs.FileType.NotFound:
+            for made in dataset.dataset(f"{base}/shard={k}", filesystem=store, format="parquet").to_table(columns=["index"])["index"]:
+                yield pickle.loads(made.as_buffer())
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, least_answer: float = LEAST_ANSWER, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """What leaks, and what covers a question, of every row, with the row's text key in _key."""
+    folder, shards, length = index(benchmark, least, least_answer, shard_postings)
+    out = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, kind string, _key long"
+    if not shards:
+        return docs.sparkSession.createDataFrame([], out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = kept_in_worker(folder, lambda: list(_read_shards(folder, 1))) if shards == 1 else None
+        for batch in batches:
+            ids, keys, words = batch["doc_id"].tolist(), batch["_key"].tolist(), batch["words"].tolist()
+            for own in only or _read_shards(folder, shards):
+                rows = [(ids[i], own.items[item][0], score, q, a, kind, keys[i]) for i, item, score, q, a, kind in own.leaks(words, length)]
+                made = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind", "_key"])
                 yield made.assign(doc_id=[None if x is None else int(x) for x in made["doc_id"]]).astype({"doc_id": "Int64", "item_id": "Int64", "_key": "int64"})
 
-        part = words.mapInPandas(run, out)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], out) if found is None else found
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), word_hashes(F.col("text")).alias("words")).mapInPandas(run, out)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, item_id, score (BM25 over what a leak needs at least), question_overlap,
-    answer_overlap of every leak."""
-    found = _found(docs, benchmark, least, shard_postings).drop("_key")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap")))
+    answer_overlap, kind of every leak, and of every question without its answer."""
+    found = _found(docs, benchmark, **how).drop("_key")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc(rank), F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap")))
     return found.withColumn("_nth", nth).filter("_nth = 1").drop("_nth").withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs less the documents (doc_id and text) that leak an item."""
-    gone = staged(_found(docs.select("doc_id", "text"), benchmark, **how).select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_k")).distinct(), "leaks")
+    gone = staged(_found(docs.select("doc_id", "text"), benchmark, **how).filter("kind <> 'question'").select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_k")).distinct(), "leaks")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_k"]), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.filter("kind <> 'question'")

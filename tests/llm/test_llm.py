@@ -247,28 +247,39 @@ def test_licenses_amid_other_text(spark):
     assert license_scan.scan(one).first().n_license_spans == 1
 
 
+def split_item(text):
+    """Words of the question and of the answer: the last sentence, if both have eight words."""
+    words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
+    parts = re.split(r"(?<=[.!?])\s+", text.strip())
+    q, a = words(" ".join(parts[:-1])), words(parts[-1])
+    return (q, a) if len(q) >= 8 and len(a) >= 8 else (q + a, [])
+
+
 def brute_leaks(texts, items):
-    """Every window of every text against every item, without an index."""
+    """Every text against every item, without an index: {(text, item): kind}."""
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
     five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    found = set()
+    found = {}
     for item, text in items.items():
-        w = words(text)
+        q, a = split_item(text)
+        w = q + a
         for d, t in texts.items():
-            v = words(t)
-            shared = five(w) & five(v)
+            shared = five(w) & five(words(t))
             covered = {i + k for i in range(len(w) - 4) for k in range(5) if tuple(w[i : i + 5]) in shared}
+            in_q, in_a = sum(i < len(q) for i in covered), sum(i >= len(q) for i in covered)
             if w and len(covered) >= 0.8 * len(w):
-                found.add((d, item))
+                found[d, item] = "whole"
+            elif a and in_q >= 0.8 * len(q):
+                found[d, item] = "both" if in_a >= 0.5 * len(a) else "question"
     return found
 
 
 def test_leaks(docs, odd, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench).collect()}
     texts, items = texts_of(docs), {r.item_id: r.text for r in bench.collect()}
     assert got and got == brute_leaks(texts, items)
-    assert got == {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, shard_postings=100).collect()}  # many shards
+    assert got == {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench, shard_postings=100).collect()}  # many shards
     # An item with words changed here and there, deep inside another text, upper case.
     rng = random.Random(2)
     w = max(items.values(), key=len).split()
@@ -281,6 +292,32 @@ def test_leaks(docs, odd, spark):
     assert decontaminate.clean(odd, bench).count() == len(ODD)
 
 
+def test_leaks_by_question_and_answer(spark):
+    """Question and answer apart, repeated items, null items, a score column, stretched leaks."""
+    rng = random.Random(12)
+    some = lambda n: [f"{rng.choice('bcdfg')}{rng.randrange(10**4)}" for _ in range(n)]
+    items = {i: f"{' '.join(some(rng.randrange(10, 60)))}? {' '.join(some(rng.randrange(8, 60)))}." for i in range(60)}
+    bench = spark.createDataFrame([*items.items(), (100, items[0]), (101, None), (102, ""), (None, items[1])], "item_id long, text string").withColumn("score", F.lit("x"))
+    texts = {}
+    for i, text in items.items():
+        q, a = text.split("? ")
+        a = a.split()
+        texts[i] = " ".join([*some(rng.randrange(300)), q, *a[: rng.randrange(len(a) + 1)], *some(rng.randrange(50))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit(1))
+    rows = decontaminate.leaks(df, bench).collect()
+    want = brute_leaks(texts, items)
+    assert set(want.values()) == {"whole", "both", "question"}
+    assert {(r.doc_id, r.item_id): r.kind for r in rows if r.item_id is not None and r.item_id < 100} == want
+    assert {r.doc_id for r in rows if r.item_id == 100} == {d for d, i in want if i == 0} and {r.doc_id for r in rows if r.item_id is None} == {d for d, i in want if i == 1}
+    left = {r.doc_id for r in decontaminate.clean(df, bench).collect()}
+    assert left == set(texts) - {d for (d, _), kind in want.items() if kind != "question"}
+    # Half as many words again put in between: nine of ten are found at least.
+    apart = {i: " ".join([*some(rng.randrange(300)), *(x for n, w in enumerate(text.split()) for x in ([w, *some(5)] if n % 10 == 9 else [w])), *some(9)]) for i, text in items.items()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(list(apart.items()), "doc_id long, text string"), bench.filter("item_id < 100")).collect()}
+    want = set(brute_leaks(apart, items))
+    assert len(want) == len(items) and len(got & want) >= 0.9 * len(want) and got <= want
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
