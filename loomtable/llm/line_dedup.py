@@ -12,9 +12,15 @@ the bytes of the chunk, as the grouping key of an aggregate and of a join. Of eq
 the first one stays (least doc_id, then least text key, then place in the text), the others
 lose their lines.
 
+A passage of few lines may hold no whole chunk. So equal pairs of neighbouring lines are
+extended to runs as well: a pair that occurred before is marked, marked pairs in a row are a
+run, and a run of `run_words` words or more loses its lines like a repeated chunk. Pairs are
+matched by the 64-bit hashes of their lines; the lines' bytes are compared over the corpus,
+and lines of unlike bytes under one hash are in no pair.
+
 Work is spread by the chunks' bytes. A chunk that occurs often is reduced to its first place
-before the shuffle, and the join that marks its copies is a plain equi-join whose large
-partitions Spark splits (adaptive skew join). Only texts that lose lines are changed.
+before the shuffle and written as a table, so the join that marks its copies is a plain
+equi-join whose large partitions Spark splits (adaptive skew join). Only texts that lose lines are changed.
 
 Results of the odd cases: a null text stays null, an empty one empty, both with no line
 removed; a text all of whose lines go becomes empty; rows with equal doc_id and text are one
@@ -24,12 +30,12 @@ of the input pass through; those named like a result are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, staged, table
 
-LONG_WORDS, MIN_WORDS, EVERY = 50, 15, 3
+LONG_WORDS, MIN_WORDS, RUN_WORDS, EVERY = 50, 15, 50, 3
 #: The rolling hash: (MULTIPLIER * line before + line) mod PRIME.
 MULTIPLIER, PRIME = 31, 2147483647
 
@@ -61,22 +67,46 @@ def chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, mi
     return facts.select("doc_id", "_key", F.inline(joined))
 
 
+def _place() -> Column:
+    """Of equal chunks or pairs the one of the least place stays."""
+    return F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "_key", "at")
+
+
 def repeats(docs: DataFrame, **how) -> DataFrame:
     """doc_id, _key, at, n_lines of every chunk that an earlier one equals."""
     found = chunks(docs, **how)
     hashed = found.withColumn("h", F.xxhash64("chunk"))
     often = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     again = staged(hashed.join(often, "h", "left_semi"), "lines-again")
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "_key", "at")
-    first = again.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    marked = again.join(first, ["h", "chunk"])
-    return marked.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "n_lines")
-
-
-def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text less the lines of repeated chunks, and n_lines, n_removed_lines."""
+    first = again.groupBy("h", "chunk").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    marked = again.join(staged(first, "lines-first"), ["h", "chunk"])
+    return marked.filter(~_place().eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "n_lines")
+
+
+def runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, _key, at, n_lines of every run of line pairs that occurred before."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
+    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w"))).alias("_f")).filter(F.size("_f") > 1)
+    n = F.size("_f") - 1
+    two = F.zip_with(F.slice("_f", F.lit(1), n), F.slice("_f", F.lit(2), n), lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b"), a["w"].alias("w"), b["w"].alias("w_next")))
+    pairs = staged(hashed.select("doc_id", "_key", F.posexplode(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
+    shared = lines.select(F.explode("_lines").alias("line")).distinct().groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = staged(shared, "lines-one-hash")
+    if not shared.isEmpty():
+        pairs = pairs.join(shared.toDF("a"), "a", "left_anti").join(shared.toDF("b"), "b", "left_anti")
+    first = staged(pairs.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first <> last").drop("last"), "pairs-first")
+    marked = pairs.join(first, ["a", "b"]).filter(~_place().eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "w", "w_next").distinct()
+    text = ["doc_id", "_key"]
+    marked = marked.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*text).orderBy("at")))
+    found = marked.groupBy(*text, "run").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), (F.sum("w") + F.max_by("w_next", "at")).alias("w"))
+    return found.filter(F.col("w") >= run_words).select(*text, F.col("lo").alias("at"), (F.col("hi") - F.col("lo") + 2).alias("n_lines"))
+
+
+def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """docs with text less the lines of repeated chunks and runs, and n_lines, n_removed_lines."""
     docs = docs.drop("n_lines", "n_removed_lines")
-    gone = repeats(docs.select("doc_id", "text").filter("text IS NOT NULL"), every=every, long_words=long_words, min_words=min_words)
+    known = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    gone = repeats(known, every=every, long_words=long_words, min_words=min_words).union(runs(known, run_words))
     of_doc = gone.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n_lines") - 1)))).alias("_gone"))
     rows = docs.withColumn("_key", F.xxhash64("text"))
     rows = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]) & (rows["_key"] == of_doc["_k"]), "left")
@@ -106,8 +136,13 @@ g AS (SELECT doc_id, line, i, w, sum(CASE WHEN h1 IS NULL OR w >= {LONG_WORDS} O
 k AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, sum(w) AS w FROM g GROUP BY doc_id, c),
 e AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, c) AS nth FROM k WHERE w >= {MIN_WORDS} AND (n > 1 OR w >= {LONG_WORDS})),
 gone AS (SELECT doc_id, c, n FROM e WHERE nth > 1),
-t AS (SELECT g.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.c IS NULL) AS text, count(*) AS n_lines, count(gone.c) AS n_removed_lines
-      FROM g LEFT JOIN gone ON g.doc_id = gone.doc_id AND g.c = gone.c GROUP BY g.doc_id)
+p AS (SELECT doc_id, i, line, w, lead(line) OVER o AS line_next, lead(w) OVER o AS w_next FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT *, row_number() OVER (PARTITION BY line, line_next ORDER BY doc_id, i) AS nth FROM p WHERE line_next IS NOT NULL),
+m AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q WHERE nth > 1),
+r AS (SELECT doc_id, unnest(generate_series(min(i), max(i) + 1)) AS i FROM m GROUP BY doc_id, run HAVING sum(w) + arg_max(w_next, i) >= {RUN_WORDS}),
+z AS (SELECT g.doc_id, g.i, g.line, gone.c IS NOT NULL OR r.i IS NOT NULL AS away
+      FROM g LEFT JOIN gone ON g.doc_id = gone.doc_id AND g.c = gone.c LEFT JOIN (SELECT DISTINCT * FROM r) AS r ON g.doc_id = r.doc_id AND g.i = r.i),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT away) AS text, count(*) AS n_lines, count(*) FILTER (WHERE away) AS n_removed_lines FROM z GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
        CASE WHEN coalesce(documents.text, '') = '' THEN 0 ELSE t.n_lines END AS n_lines, coalesce(t.n_removed_lines, 0) AS n_removed_lines
 FROM documents LEFT JOIN t ON documents.doc_id = t.doc_id

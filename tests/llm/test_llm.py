@@ -46,7 +46,23 @@ def test_line_dedup_odd(odd, spark):
     passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(12))
     two = spark.createDataFrame([(1, f"aa\nbb\n{passage}\ncc"), (2, f"other start\n{passage}\nend")], "doc_id long, text string")
     gone = {r.doc_id: r.n_removed_lines for r in line_dedup.dedup(two).collect()}
-    assert gone[1] == 0 and gone[2] >= 6  # the same chunks, though they begin at other lines
+    assert gone == {1: 0, 2: 12}  # chunk by chunk and line by line, though they begin at other lines
+
+
+def test_line_dedup_finds_every_passage(spark):
+    """Passages of over 50 words in few lines, put between other lines, leave all texts but the first."""
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"{rng.choice('abc')}{rng.randrange(10**5)}" for _ in range(n))
+    passages = [[line(-(-51 // n) + rng.randrange(3)) for _ in range(n)] for n in (2, 3, 4, 5, 6, 9) for _ in range(5)]
+    rows, want = [], {}
+    for i, p in enumerate(passages):
+        for k in range(3):
+            head, tail = [line(rng.randrange(1, 30)) for _ in range(rng.randrange(5))], [line(rng.randrange(1, 30)) for _ in range(rng.randrange(5))]
+            rows.append((10 * i + k, "\n".join([*head, *p, *tail])))
+            want[10 * i + k] = rows[-1][1] if k == 0 else "\n".join([*head, *tail])
+    rows += [(9001, "\n".join(p[0] for p in passages)), (9002, "\n".join(passages[3][:2]) if len(passages[3]) > 2 else "a\nb")]  # lines, but no passage
+    out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: out[k] for k in want} == want and out[9001] == rows[-2][1]
 
 
 def test_token_ids(docs, spark):
