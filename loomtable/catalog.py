@@ -26,7 +26,7 @@ def is_read_only(sql: str) -> bool:
     any of its parts."""
     plain = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
     words = re.findall(r"[a-z_]+", plain.lower())
-    if not words or words[0] not in READS or ";" in plain:
+    if not words or words[0] not in READS or ";" in plain or re.search(r"\binsert\s+(into|overwrite)\b", plain.lower()):
         return False
     return words[0] != "with" or not WRITES & set(re.findall(r"\)\s*([a-z]+)\b", plain.lower()))
 
@@ -38,20 +38,63 @@ class Catalog:
         self.spark, self.scope = spark, scope
         self.tables: dict[str, DataFrame] = {}
         self.names: dict[str, str] = {}
+        self.column_names: dict[str, dict[str, str]] = {}
 
-    def register(self, name: str, df: DataFrame, aliases: tuple[str, ...] = (), hidden: tuple[str, ...] = (), row_id: str | None = None) -> None:
+    def register(self, name: str, df: DataFrame, aliases: tuple[str, ...] = (), hidden: tuple[str, ...] = (), row_id: str | None = None, column_aliases: dict[str, tuple[str, ...]] | None = None) -> None:
         if row_id in hidden:
             raise QueryError("alias_conflict", "the row id can't be hidden")
         for alias in (name, *aliases):
             if self.names.get(alias, name) != name:
                 raise QueryError("alias_conflict", f"{alias} is {self.names[alias]}")
         shown = df.drop(*hidden)
+        self.column_names[name] = self._columns_by_alias(shown.columns, column_aliases or {})
         self.tables[name] = shown
         for alias in (name, *aliases):
             self.names[alias] = name
             if re.fullmatch(r"\w+", alias):
                 shown.createOrReplaceTempView(f"{self.scope}{alias}")
 
+    @staticmethod
+    def _columns_by_alias(columns: list[str], aliases: dict[str, tuple[str, ...]]) -> dict[str, str]:
+        found = {c: c for c in columns}
+        for column, others in aliases.items():
+            for alias in others:
+                if found.get(alias, column) != column:
+                    raise QueryError("alias_conflict", f"{alias} is {found[alias]}")
+                found[alias] = column
+        return {alias: c for alias, c in found.items() if c in columns}
+
+    def column(self, name: str, alias: str) -> str:
+        """The column of a table behind one of its names."""
+        self.frame(name)
+        known = self.column_names[self.names[name]]
+        if alias not in known:
+            raise QueryError("column_not_resolved", f"{name}.{alias}")
+        return known[alias]
+
+    def listing(self) -> list[tuple[str, tuple[str, ...], int]]:
+        """Name, other names and number of columns of every table whose name has no leading _."""
+        return [(n, tuple(a for a, of in self.names.items() if of == n and a != n), len(df.columns)) for n, df in sorted(self.tables.items()) if not n.startswith("_")]
+
+    def in_scope(self, template: dict[str, list[str]]) -> Catalog:
+        """A catalog of the template's tables and columns alone."""
+        out = Catalog(self.spark, f"{self.scope}scoped_")
+        for name, columns in template.items():
+            if name in self.tables:
+                own = [self.column(name, c) for c in columns if c in self.column_names[name]]
+                out.register(name, self.tables[name].select(*own))
+        return out
+
+    def header_faults(self, name: str, headers: list[str]) -> list[tuple[str, str]]:
+        """(issue, column) where a header and a table disagree: missing, unknown, repeated, order."""
+        columns = self.frame(name).columns
+        found = [self.column_names[self.names[name]].get(h) for h in headers]
+        faults = [("unknown", h) for h, c in zip(headers, found, strict=True) if c is None]
+        faults += [("missing", c) for c in columns if c not in found]
+        faults += [("repeated", c) for c in columns if found.count(c) > 1]
+        placed = [columns.index(c) for c in dict.fromkeys(found) if c]
+        return faults + ([("order", headers[0])] if placed != sorted(placed) else [])
+
     def frame(self, name: str) -> DataFrame:
         if name not in self.names:
             raise QueryError("table_not_found", name)

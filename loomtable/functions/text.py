@@ -1,5 +1,5 @@
 """Text functions as Columns; Python (in Arrow batches) only for Unicode normal forms, fuzzy
-matches and the compatible hash."""
+matches, replacements and the compatible hash."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 CJK = "㐀-鿿"
 
@@ -144,18 +144,112 @@ def fuzzy_score(target: Column, text: Column) -> Column:
 
 
 def _fuzzy(target: str | None, text: str | None) -> float:
+    return _span(target, text)[0]
+
+
+def _span(target: str | None, text: str | None) -> tuple[float, int, int]:
+    """Score, start and end of the best match; 0 and -1 where there is none."""
     if not target or not text:
-        return 0.0
+        return 0.0, -1, -1
     if target in text:
-        return 1.0
+        return 1.0, text.index(target), text.index(target) + len(target)
     pairs = {target[i : i + 2] for i in range(len(target) - 1)}
-    best, start = 0.0, text.find(target[:4])
+    best, start = (0.0, -1, -1), text.find(target[:4])
     while start >= 0:
         end = text.find(target[-4:], start)
         while 0 <= end and end + 4 - start <= 1.5 * len(target):
             if end + 4 - start >= 0.5 * len(target):
                 span = text[start : end + 4]
-                best = max(best, sum(p in span for p in pairs) / max(1, len(pairs)))
+                score = sum(p in span for p in pairs) / max(1, len(pairs))
+                best = (score, start, end + 4) if score > best[0] else best
             end = text.find(target[-4:], end + 1)
         start = text.find(target[:4], start + 1)
-    return best if best >= 0.4 else 0.0
+    return best if best[0] >= 0.4 else (0.0, -1, -1)
+
+
+SIGNS = "一-龥a-zA-Z0-9"
+
+
+def punctuation_trimmed(text: Column) -> Column:
+    """prefix, core and suffix: what stands before and after the outermost letters and digits."""
+    t = F.coalesce(text, F.lit(""))
+    prefix = F.regexp_extract(t, rf"^[^{SIGNS}]+", 0)
+    rest = F.substr(t, F.length(prefix) + 1)
+    suffix = F.regexp_extract(rest, rf"[^{SIGNS}]+$", 0)
+    return F.struct(prefix.alias("prefix"), F.substr(rest, F.lit(1), F.length(rest) - F.length(suffix)).alias("core"), suffix.alias("suffix"))
+
+
+def double_quoted(text: Column) -> Column:
+    """Single quotes as curly double ones; a closing one that no letter or digit follows goes."""
+    mark = "\ue000"  # closes for now
+    for pair in ("‘([^’]*)’", "'([^']*)'"):
+        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, pair, f"“$1{mark}"), rf"{mark}(?=[^{SIGNS}]*$)", ""), mark, "”")
+    return text
+
+
+def tag_map(text: Column) -> Column:
+    """Tag to the contents of its elements, in order; elements inside others are not looked at."""
+    found = F.lit(r"(?s)<(\w+)>(.*?)</\1>")
+    t = F.coalesce(text, F.lit(""))
+    each = F.arrays_zip(F.regexp_extract_all(t, found, 1).alias("tag"), F.regexp_extract_all(t, found, 2).alias("body"))
+    names = F.array_distinct(F.transform(each, lambda e: e["tag"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(each, lambda e: e["tag"] == n), lambda e: e["body"])))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_applied", IntegerType())]))
+def replaced(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    """Texts after their edits (original, optimized), one after the other: the best match of the
+    original takes the core of the other between its own outer punctuation."""
+    core = re.compile(rf"^([^{SIGNS}]*)(.*?)([^{SIGNS}]*)$", re.S)
+
+    def quoted(x: str) -> str:
+        for pair in (r"‘([^’]*)’", r"'([^']*)'"):
+            x = re.sub(pair, lambda m: f"“{m[1]}" + ("”" if re.search(f"[{SIGNS}]", m.string[m.end() :]) else ""), x)
+        return x
+
+    def one(text: str | None, ops: list | None) -> tuple[str | None, int]:
+        n = 0
+        for op in ops if text and ops is not None else ():
+            if op["original"] and op["optimized"]:
+                _, lo, hi = _span(op["original"], text)
+                if lo >= 0:
+                    own, new = core.match(text[lo:hi]), core.match(op["optimized"])
+                    text, n = text[:lo] + quoted(own[1] + new[2] + own[3]) + text[hi:], n + 1
+        return text, n
+
+    return pd.DataFrame([one(t, o) for t, o in zip(texts, edits, strict=True)], columns=["text", "n_applied"])
+
+
+@F.pandas_udf(StringType())
+def input_hash(texts: pd.Series) -> pd.Series:
+    """The compatible hash of an input: shifts wrap at 32 bits, the sum of a step does not; in
+    base 36 with its sign. Trimmed, line ends as \\n; empty for null and empty texts."""
+
+    def wrapped(x: int) -> int:
+        return (x + 2**31) % 2**32 - 2**31
+
+    def one(text: str | None) -> str:
+        if not text:
+            return ""
+        units = text.strip().replace("\r\n", "\n").replace("\r", "\n").encode("utf-16-le")
+        h = 2166136261
+        for lo, hi in zip(units[::2], units[1::2], strict=True):
+            h = wrapped(h) ^ (lo | hi << 8)
+            h += sum(wrapped(h << k) for k in (1, 4, 7, 8, 24))
+        out, n = "", abs(h)
+        while n:
+            n, d = divmod(n, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+        return ("-" if h < 0 else "") + (out or "0")
+
+    return texts.map(one)
+
+
+def code_index(text: Column) -> Column:
+    """A code as it is stored: NFKC, trimmed, upper case."""
+    return F.upper(F.trim(display_form(text)))
+
+
+@F.pandas_udf(StringType())
+def display_form(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

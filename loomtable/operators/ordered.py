@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 
 def last_rows(df: DataFrame, n: int, order: list[str], scope: str | None = None) -> DataFrame:
     """The last n rows (of each scope)."""
@@ -26,7 +28,8 @@ def logical_clock(messages: DataFrame, scope: str, order: str, counts: Column, a
 
 def codes(df: DataFrame, scope: str, order: str, prefix: str = "AM") -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(scope).orderBy(order))
-    return df.withColumn("code", F.concat(F.lit(prefix), F.lpad(nth.cast("string"), 4, "0")))
+    plain = nth.cast("string")
+    return df.withColumn("code", F.concat(F.lit(prefix), F.when(F.length(plain) < 4, F.lpad(plain, 4, "0")).otherwise(plain)))
 
 
 def batches(df: DataFrame, n: int, order: str, scope: str) -> DataFrame:
@@ -44,9 +47,16 @@ def spliced(df: DataFrame, place: str, start: int, end: int, merged: DataFrame)
 
 def within_budget(df: DataFrame, scope: str, order: list[str], cost: str, budget: int, most: int) -> DataFrame:
     """Greedy choice in order: a row that overflows what is left is passed over, the choice
-    ends at `most` rows. Rows stream through sorted; only a group's sum and count are kept."""
+    ends at `most` rows.
+
+    Of rows of one cost, those chosen are the first ones: what did not fit once never fits
+    later. So of each scope and cost only the first budget / cost rows (`most` at most) can be
+    chosen; the rest goes before the shuffle, and a scope's task holds no more than its costs
+    allow, however many rows the scope has."""
     fields = df.schema
     keep = df.filter(F.col(cost) <= budget)  # no other can ever fit
+    nth = F.row_number().over(Window.partitionBy(scope, cost).orderBy(*order))
+    keep = keep.withColumn("_nth", nth).filter((F.col("_nth") <= most) & (F.col("_nth") * F.col(cost) <= budget)).drop("_nth")
     placed = keep.repartition(scope).sortWithinPartitions(scope, *order)
     at_scope, at_cost = df.columns.index(scope), df.columns.index(cost)
 
@@ -67,11 +77,52 @@ def within_budget(df: DataFrame, scope: str, order: list[str], cost: str, budget
 
 def elementary(ranges: DataFrame, start: str, end: str) -> DataFrame:
     """lo, hi, n: the pieces between neighbouring bounds of all ranges (half open), with the
-    number of ranges over each. Bounds are summed by value first; only the distinct bounds
-    are put in order."""
+    number of ranges over each. Bounds are summed by value first, then dealt out in order: a
+    part's own sums start at the total of the parts before it, and its last bound ends at the
+    first one of the next."""
     bounds = ranges.select(F.col(start).alias("at"), F.lit(1).alias("d")).unionAll(ranges.select(F.col(end).alias("at"), F.lit(-1).alias("d"))).groupBy("at").agg(F.sum("d").alias("d"))
-    w = Window.orderBy("at")
-    return bounds.select(F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).filter("hi IS NOT NULL AND n > 0")
+    placed = written(bounds.orderBy("at").withColumn("_part", F.spark_partition_id()), "bounds")  # read twice below
+    by_part = Window.orderBy("_part")  # a row for each part
+    parts = placed.groupBy("_part").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    parts = parts.select("_part", F.coalesce(F.sum("_d").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(by_part).alias("_next"))
+    w = Window.partitionBy("_part").orderBy("at")
+    pieces = placed.join(F.broadcast(parts), "_part").select(F.col("at").alias("lo"), F.coalesce(F.lead("at").over(w), "_next").alias("hi"), (F.col("_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("n"))
+    return pieces.filter("hi IS NOT NULL AND n > 0")
+
+
+def rows_before(df: DataFrame, place: str, at: int, n: int) -> DataFrame:
+    """The n rows before place `at`."""
+    return df.filter((F.col(place) >= max(0, at - n)) & (F.col(place) < at))
+
+
+#: The parts of a prompt that entries go to, in order; all other positions come last.
+SEGMENTS = ("before_character_definition", "after_character_definition")
+
+
+def entry_order(position: Column, depth: Column, order: Column, place: Column, book: Column, uid: Column) -> list[Column]:
+    """Sort keys of entries: segment, deepest first in the last one, order, place, book, uid;
+    those without a number come after those with one."""
+    segment = F.coalesce(F.array_position(F.array(*map(F.lit, SEGMENTS)), position), F.lit(0))
+    last = segment == 0
+    number = lambda c: c.cast("string").try_cast("double")
+    return [F.when(last, 3).otherwise(segment), F.when(last, -F.coalesce(number(depth), F.lit(0.0))).otherwise(0), number(order).asc_nulls_last(), number(place).asc_nulls_last(), F.coalesce(book, F.lit("")), F.coalesce(uid.cast("string"), F.lit(""))]
+
+
+def table_order(tables: DataFrame, number: str, name: str) -> DataFrame:
+    """Tables by their number, those without one last, then by name."""
+    return tables.orderBy(F.col(number).cast("string").try_cast("double").asc_nulls_last(), name)
+
+
+def after_merge(df: DataFrame, order: list[str], merged: Column, made: DataFrame, n: int) -> DataFrame:
+    """df once its first n unmerged rows have become the rows `made`: earlier merged rows
+    (segment 0), made (1), the other unmerged rows (2). All unmerged rows stay if there are
+    fewer than n."""
+    from .writes import placed
+
+    fresh = placed(df.filter(~merged), order, "_place")
+    total = fresh.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    rest = fresh.crossJoin(F.broadcast(total)).filter((F.col("_place") >= n) | (F.col("_total") < n)).drop("_place", "_total")
+    return df.filter(merged).withColumn("segment", F.lit(0)).unionByName(made.withColumn("segment", F.lit(1))).unionByName(rest.withColumn("segment", F.lit(2)))
 
 
 def overlapping(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, width: int) -> DataFrame:

@@ -64,7 +64,8 @@ def fused(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def reranked(ranked: DataFrame, scores: DataFrame) -> DataFrame:
-    """ranked with outside scores (doc_id, rerank) in place of its own where given."""
+    """ranked with outside scores (doc_id, rerank) in place of its own where given; its own order
+    (rank) tells ties apart."""
     return ranked.join(scores, "doc_id", "left").withColumn("score", F.coalesce("rerank", "score")).drop("rerank")
 
 
@@ -85,3 +86,26 @@ def best_per_row(chunks: DataFrame, row_key: str, by: Column) -> DataFrame:
     """The best chunk of each row, by a partial maximum."""
     cells = [c for c in chunks.columns if c != row_key]
     return chunks.groupBy(row_key).agg(F.max_by(F.struct(*cells), by).alias("_best")).select(row_key, "_best.*")
+
+
+def prepared_rows(df: DataFrame, table: str, row_id: str, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """row_key, row_id, cells, fingerprint of the rows to index. names: each cell with the
+    headers that it may have; rows that are blank in `summary` or `code` go. A table without a
+    column for one of these raises."""
+    found = {cell: next((c for c in df.columns if c in own), None) for cell, own in names.items()}
+    if missing := [c for c in ("summary", "code") if not found.get(c)]:
+        raise ValueError(f"no column for {', '.join(missing)}")
+    cell = lambda c: F.trim(F.coalesce(F.col(found[c]).cast("string"), F.lit(""))) if found[c] else F.lit("")
+    rows = df.select(F.col(row_id), *[cell(c).alias(c) for c in names]).filter("summary <> '' AND code <> ''")
+    key = F.concat_ws(":", F.lit(table), F.col(row_id).cast("string"), "code")
+    return rows.withColumns({"row_key": key, "fingerprint": F.sha2(F.concat_ws("\x1f", *names), 256)})
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Chunks with their vectors; those without one (or an empty one) go."""
+    return chunks.join(vectors.filter(F.size("embedding") > 0), key)
+
+
+def query_text(text: Column, keywords: Column) -> Column:
+    """What is searched for: an input and its keywords."""
+    return F.trim(F.concat_ws(" ", text, F.array_join(keywords, " ")))

@@ -131,9 +131,9 @@ def join_left(t):
     return t.customer.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey")
+@query("SELECT c_custkey, s_suppkey * 3 AS s_key FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 3")
 def join_right_full(t):
-    return t.customer.filter("c_custkey % 3 = 0").join(t.supplier.filter("s_suppkey % 2 = 0"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return t.customer.join(t.supplier.select((F.col("s_suppkey") * 3).alias("s_key")), F.col("c_custkey") == F.col("s_key"), "full").select("c_custkey", "s_key")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -152,9 +152,9 @@ def join_semi(t):
     return t.customer.join(t.orders.filter("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def join_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) GROUP BY c_nationkey")
@@ -178,16 +178,16 @@ def join_asof(t):
     return t.events.withColumn("_last", last).filter(is_error).select("event_id", F.col("_last.event_id").alias("before_id"))
 
 
-@query("WITH r AS (SELECT (o_orderkey % 97) * 10 AS lo, (o_orderkey % 97) * 10 + 5 + o_orderkey % 40 AS hi FROM orders WHERE o_orderkey < 400), b AS (SELECT x, sum(d) AS d FROM (SELECT lo AS x, 1 AS d FROM r UNION ALL SELECT hi, -1 FROM r) GROUP BY x) SELECT * FROM (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi, (sum(d) OVER (ORDER BY x))::BIGINT AS n FROM b) WHERE hi IS NOT NULL AND n > 0")
+@query("WITH r AS (SELECT (o_orderkey * 7) % 100003 AS lo, (o_orderkey * 7) % 100003 + 5 + o_orderkey % 40 AS hi FROM orders), b AS (SELECT x, sum(d) AS d FROM (SELECT lo AS x, 1 AS d FROM r UNION ALL SELECT hi, -1 FROM r) GROUP BY x) SELECT * FROM (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi, (sum(d) OVER (ORDER BY x))::BIGINT AS n FROM b) WHERE hi IS NOT NULL AND n > 0")
 def join_interval_waves(t):
-    r = t.orders.filter("o_orderkey < 400").selectExpr("(o_orderkey % 97) * 10 AS lo", "(o_orderkey % 97) * 10 + 5 + o_orderkey % 40 AS hi")
+    r = t.orders.selectExpr("(o_orderkey * 7) % 100003 AS lo", "(o_orderkey * 7) % 100003 + 5 + o_orderkey % 40 AS hi")
     return elementary(r, "lo", "hi")
 
 
-@query("WITH a AS (SELECT o_orderkey AS a_id, o_orderkey * 3 AS alo, o_orderkey * 3 + 1 + o_orderkey % 50 AS ahi FROM orders WHERE o_orderkey < 800), b AS (SELECT p_partkey AS b_id, p_partkey * 5 AS blo, p_partkey * 5 + 1 + p_partkey % 30 AS bhi FROM part WHERE p_partkey < 500) SELECT a_id, b_id FROM a JOIN b ON alo < bhi AND blo < ahi")
+@query("WITH a AS (SELECT o_orderkey AS a_id, o_orderkey * 3 AS alo, o_orderkey * 3 + 1 + o_orderkey % 50 AS ahi FROM orders), b AS (SELECT p_partkey AS b_id, p_partkey * 5 AS blo, p_partkey * 5 + 1 + p_partkey % 30 AS bhi FROM part) SELECT a_id, b_id FROM a JOIN b ON alo < bhi AND blo < ahi")
 def join_overlap(t):
-    a = t.orders.filter("o_orderkey < 800").selectExpr("o_orderkey AS a_id", "o_orderkey * 3 AS alo", "o_orderkey * 3 + 1 + o_orderkey % 50 AS ahi")
-    b = t.part.filter("p_partkey < 500").selectExpr("p_partkey AS b_id", "p_partkey * 5 AS blo", "p_partkey * 5 + 1 + p_partkey % 30 AS bhi")
+    a = t.orders.selectExpr("o_orderkey AS a_id", "o_orderkey * 3 AS alo", "o_orderkey * 3 + 1 + o_orderkey % 50 AS ahi")
+    b = t.part.selectExpr("p_partkey AS b_id", "p_partkey * 5 AS blo", "p_partkey * 5 + 1 + p_partkey % 30 AS bhi")
     return overlapping(a, b, "alo", "ahi", "blo", "bhi", 64).select("a_id", "b_id")
 
 
@@ -262,7 +262,7 @@ def win_floor_clock(t):
     return logical_clock(t.conversations, "conv_id", "turn", F.col("role") != "user").select("conv_id", "turn", "floor")
 
 
-@query("SELECT conv_id, turn, 'AM' || lpad((row_number() OVER w)::VARCHAR, 4, '0') AS code, floor((row_number() OVER w - 1) / 3)::BIGINT AS batch FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("SELECT conv_id, turn, 'AM' || CASE WHEN row_number() OVER w < 1000 THEN lpad((row_number() OVER w)::VARCHAR, 4, '0') ELSE (row_number() OVER w)::VARCHAR END AS code, floor((row_number() OVER w - 1) / 3)::BIGINT AS batch FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def win_codes_batches(t):
     return batches(codes(t.conversations, "conv_id", "turn"), 3, "turn", "conv_id").select("conv_id", "turn", "code", "batch")
 

@@ -21,14 +21,10 @@ def text_tokens(t):
     return rows.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first"))
 
 
-@query("SELECT k, v FROM (VALUES (0, '你好|你|好|世界|世|界'), (1, 'ab_1'), (2, '')) x(k, v)")
+@query("SELECT n_nationkey, array_to_string(list_concat(regexp_extract_all(lower(n_name), '[a-z0-9_]+'), ['你', '好', '你好', '世', '界', '世界', '中', '_1']), '|') AS v FROM nation")
 def text_cjk(t):
-    rows = t.spark.createDataFrame([(0, "你好 世界"), (1, "AB_1!"), (2, None)], "k int, s string")
-    found = F.array_join(F.flatten(F.transform(F.split("s", " "), lambda x: F.sort_array(T.tokens(x), asc=False))), "|")
-    order = F.when(F.col("k") == 0, F.lit("你好|你|好|世界|世|界")).otherwise(F.coalesce(found, F.lit("")))
-    signs = F.array_join(F.array_sort(T.tokens(F.col("s"))), "|")
-    wanted = F.array_join(F.array_sort(F.split(order, r"\|")), "|")
-    return rows.select("k", F.when(signs == wanted, order).otherwise(signs).alias("v"))
+    text = F.concat_ws(" ", "n_name", F.lit("你好，世界 中!_1"))
+    return t.nation.select("n_nationkey", F.array_join(T.tokens(text), "|").alias("v"))
 
 
 @query(r"SELECT doc_id, len(s) AS n_sentences, (len(s) + 1) // 2 AS n_chunks FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^。！？!?；;\n]+[。！？!?；;]?'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents)")
@@ -87,10 +83,11 @@ def json_props(t):
     return t.events.select("event_id", jsons.field(F.col("props"), "k").alias("k"))
 
 
-@query("SELECT k, v FROM (VALUES (0, '{\"a\": 1}'), (1, '{\"a\": [1, 2]}'), (2, '{\"1\": \"x\"}'), (3, NULL)) x(k, v)")
+@query("SELECT event_id, '{\"a\": [' || event_id || ', \"' || event_type || '\"], \"b\": ' || user_id || '}' AS v FROM events")
 def json_repair(t):
-    rows = t.spark.createDataFrame([(0, '{"a": 1}'), (1, '{"a": [1, 2,],}'), (2, "{1: 'x'}"), (3, "{")], "k int, s string")
-    return rows.select("k", jsons.repaired("s").alias("v"))
+    """Curly quotes, a bare key, a trailing comma and a line end in each event's text."""
+    broken = F.concat(F.lit("{“a”: ["), "event_id", F.lit(", “"), "event_type", F.lit("”,],\n b: "), "user_id", F.lit(",}"))
+    return t.events.select("event_id", jsons.repaired(broken).alias("v"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS s, o_orderdate >= TIMESTAMP '1995-01-01 00:00' AND o_orderdate <= TIMESTAMP '1996-12-31 23:59' AS inside FROM orders")
@@ -167,7 +164,11 @@ def vector_codec(t):
     return back.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0 ELSE greatest(1, ceil(length(text) / 1.6)) END::BIGINT AS cost FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM d),
+x(source, doc_id, cost, k, used, taken, fits) AS (SELECT source, doc_id, cost, k, CASE WHEN cost <= 5000 THEN cost ELSE 0 END, (cost <= 5000)::INTEGER, cost <= 5000 FROM r WHERE k = 1
+UNION ALL SELECT r.source, r.doc_id, r.cost, r.k, x.used + CASE WHEN x.taken < 6 AND x.used + r.cost <= 5000 THEN r.cost ELSE 0 END, x.taken + (x.taken < 6 AND x.used + r.cost <= 5000)::INTEGER, x.taken < 6 AND x.used + r.cost <= 5000 FROM x JOIN r ON r.source = x.source AND r.k = x.k + 1)
+SELECT source, doc_id, cost FROM x WHERE fits""")
 def budget_topk(t):
     rows = t.documents.select("source", "doc_id", T.token_estimate(F.col("text")).alias("cost"))
     return within_budget(rows, "source", ["doc_id"], "cost", 5000, 6)
@@ -200,8 +201,7 @@ def record_sink(t):
     return markdown.records(t.supplier, "s_suppkey", ["s_name", "s_nationkey"])
 
 
-@query("SELECT p_partkey, p_type || '|' || regexp_replace(p_type, ' .*', '') AS k FROM part WHERE contains(p_type, ' ') UNION ALL SELECT p_partkey, p_type FROM part WHERE NOT contains(p_type, ' ')")
+@query("SELECT p_partkey, CASE WHEN contains(p_type, ' ') THEN p_type || '|' || replace(p_type, ' ', '(') || '|' || split_part(p_type, ' ', 1) ELSE p_type END AS k, p_name AS content FROM part")
 def keyword_entries(t):
     rows = t.part.withColumn("keys", F.concat(F.col("p_type"), F.lit("，"), F.regexp_replace("p_type", " ", "(")))
-    made = markdown.entries(rows, "p_partkey", "keys", F.col("p_name"))
-    return made.select("p_partkey", F.array_join(F.array_except("keywords", F.array(F.regexp_replace(F.element_at("keywords", 1), " ", "("))), "|").alias("k")).join(t.part.filter("contains(p_type, ' ')").select("p_partkey"), "p_partkey", "left_semi").unionAll(t.part.filter("NOT contains(p_type, ' ')").select("p_partkey", "p_type"))
+    return markdown.entries(rows, "p_partkey", "keys", F.col("p_name")).select("p_partkey", F.array_join("keywords", "|").alias("k"), "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder in spark.checkpoint.dir; only a session without one (a local test) gets
-    a temporary folder."""
+    """A new folder in spark.checkpoint.dir; only a local session without one (a test) gets a
+    temporary folder, as executors elsewhere could not write to it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='shared-')}") if not _OWN else _OWN["dir"]
     return f"{named.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from loomtable.catalog import Catalog, QueryError, is_read_only
 from loomtable.functions import text as T
 from loomtable.functions.predicates import keywords
-from loomtable.operators import changes, migrate, ordered, retrieval
+from loomtable.functions import jsons
+from loomtable.operators import changes, logs, migrate, ordered, retrieval, writes
 from loomtable.operators.expansion import expand
 from loomtable.operators.query import TableQuery
+from loomtable.sources import sinks, snapshots
 
 
 def rows(df):
@@ -46,6 +48,7 @@ def test_keyword_predicate(spark):
 
 def test_read_only_gate(spark, people):
     assert is_read_only("select 'drop table x; --' as a") and is_read_only("WITH a AS (SELECT 1) SELECT * FROM a")
+    assert not is_read_only("with a as (select 1 x) from a insert into b select *")
     assert not is_read_only("drop table a") and not is_read_only("select 1; delete from a") and not is_read_only("WITH a AS (SELECT 1) INSERT INTO b SELECT 1")
     c = Catalog(spark)
     c.register("people", people, ("folk",), hidden=("n",))
@@ -110,3 +113,127 @@ def test_overlap_is_brute_force(spark):
     b = [(i, (s := rng.randrange(200)), s + rng.randrange(1, 60)) for i in range(40)]
     got = ordered.overlapping(spark.createDataFrame(a, "x int, alo int, ahi int"), spark.createDataFrame(b, "y int, blo int, bhi int"), "alo", "ahi", "blo", "bhi", 16).select("x", "y")
     assert rows(got) == sorted([(i, j) for i, s, e in a for j, p, q in b if s < q and p < e], key=str)
+
+
+def test_writes_refuse(people):
+    with pytest.raises(ValueError):
+        writes.mutated(people, "drop")
+    with pytest.raises(ValueError):
+        writes.mutated(people, "update", None, {"n": F.lit(1)}, hidden=("n",))
+    with pytest.raises(ValueError):
+        writes.mutated(people, "update", None, {"zzz": F.lit(1)})
+    table, n = writes.mutated(people, "update", F.col("n") > 1, {"name": F.lit("x")})
+    assert rows(table) == [(1, "x", 3), (2, "Bob", None), (3, "x", 5)] and n.first()["affected"] == 2  # a null condition touches nothing
+    with pytest.raises(ValueError):
+        writes.content_patch(people, ["row_id"], [(0, "name", "x")], [], [])
+    with pytest.raises(ValueError):
+        writes.schema_patch(people, {}, [], {"name": "string"})
+
+
+def test_rows_by_place_refuse_what_is_not_there(spark, people):
+    edits = spark.createDataFrame([(0, "name", "x"), (9, "name", "y"), (1, "zzz", "z"), (2, None, None)], "place long, column string, value string")
+    table, refused = writes.at_places(people, ["row_id"], "row_id", edits)
+    assert rows(table) == [(1, "x", 3), (2, "Bob", None)]
+    assert rows(refused) == [(1, "zzz", "z"), (9, "name", "y")]
+
+
+def test_strict_edits_need_one_row(spark, people):
+    wanted = spark.createDataFrame([(1, {"name": "Bob"}), (2, {"name": "Ann", "n": "5"}), (3, {"name": "none"})], "op int, where map<string,string>")
+    twice = people.unionByName(people.filter("row_id = 2").withColumn("row_id", F.lit(7).cast("long")))
+    assert rows(writes.strict_matches(people, "row_id", wanted)) == [(1, 1, 2), (2, 0, None), (3, 0, None)]
+    assert rows(writes.strict_matches(twice, "row_id", wanted))[0] == (1, 2, None)
+
+
+def test_log_chain(spark):
+    none = spark.createDataFrame([], "s string, seq int, revision string")
+    entries = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1)], "s string, e int")
+    log = logs.appended(none, entries, "s", "e", "e")
+    assert [(r.revision, r.parent) for r in log.orderBy("s", "seq").collect()] == [("1:5", None), ("2:6", "1:5"), ("1:1", None)]
+    assert logs.chain_faults(log, "s").count() == 0
+    assert logs.chain_faults(log.withColumn("parent", F.lit("x")), "s").count() == 1
+
+
+def test_elementary_is_brute_force(spark):
+    rng = random.Random(9)
+    ranges = [((s := rng.randrange(300)), s + rng.randrange(1, 40)) for _ in range(120)]
+    cuts = sorted({x for r in ranges for x in r})
+    want = [(a, b, n) for a, b in zip(cuts, cuts[1:], strict=False) if (n := sum(lo <= a and b <= hi for lo, hi in ranges))]
+    got = ordered.elementary(spark.createDataFrame(ranges, "lo int, hi int"), "lo", "hi")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_codes_keep_their_digits(spark):
+    df = spark.range(10_001).withColumn("s", F.lit("a"))
+    codes = [r.code for r in ordered.codes(df, "s", "id").collect()]
+    assert len(set(codes)) == 10_001 and {"AM0001", "AM9999", "AM10000", "AM10001"} <= set(codes)
+
+
+def test_budget_is_brute_force(spark):
+    rng = random.Random(10)
+    items = [(rng.choice("ab"), i, rng.choice([0, 1, 2, 3, 5, 40])) for i in range(300)]
+    want = []
+    for g in "ab":
+        used = taken = 0
+        for s, i, c in items:
+            if s == g and taken < 9 and used + c <= 17:
+                used, taken = used + c, taken + 1
+                want.append((s, i, c))
+    df = spark.createDataFrame(items, "g string, i int, cost int")
+    assert rows(ordered.within_budget(df, "g", ["i"], "cost", 17, 9)) == sorted(want, key=str)
+
+
+def test_input_hash(spark):
+    """Against shifts as a 32-bit machine has them."""
+    import ctypes
+
+    def machine(text):
+        h = 2166136261
+        for c in text:
+            h = ctypes.c_int32(h).value ^ ord(c)
+            h = h + ctypes.c_int32(h << 1).value + ctypes.c_int32(h << 4).value + ctypes.c_int32(h << 7).value + ctypes.c_int32(h << 8).value + ctypes.c_int32(h << 24).value
+        return h
+
+    df = spark.createDataFrame([("abc",), (" a\r\nb ",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(T.input_hash("t")).collect()]
+    assert [int(x, 36) for x in got[:2]] == [machine("abc"), machine("a\nb")] and got[2:] == ["", ""]
+
+
+def test_loose_objects():
+    assert jsons.loose_object('{"a": 1, b: "x", "c,d", {"e": [1]}, 7: 2, 3}') == {"a": "1", "b": "x", "0": "c,d", "1": '{"e": [1]}', "7": "2", "8": "3"}
+    assert jsons.loose_object("{}") == {} and jsons.loose_object("[1]") is None and jsons.loose_object("{a: }") is None and jsons.loose_object(None) is None
+    assert jsons.segments('a, "b,c", [1, {2, 3}], ') == ["a", '"b,c"', "[1, {2, 3}]"]
+
+
+def test_catalog_columns(spark, people):
+    c = Catalog(spark, "cols_")
+    c.register("people", people, ("folk",), column_aliases={"name": ("Name", "who")})
+    assert c.column("folk", "who") == "name" and c.listing() == [("people", ("folk",), 3)]
+    with pytest.raises(QueryError):
+        c.column("people", "zzz")
+    with pytest.raises(QueryError):
+        c.register("others", people, column_aliases={"name": ("x",), "n": ("x",)})
+    assert c.header_faults("people", ["row_id", "who", "n"]) == [] and c.header_faults("people", ["n", "row_id", "zzz"]) == [("unknown", "zzz"), ("missing", "name"), ("order", "n")]
+    assert c.in_scope({"people": ["row_id", "who"], "gone": []}).frame("people").columns == ["row_id", "name"]
+
+
+def test_unfinished_versions_are_not_read(spark, people, tmp_path):
+    folder = f"file://{tmp_path}/v"
+    snapshots.publish(people, folder, 1)
+    people.limit(1).write.parquet(f"{folder}/version=2")  # no pointer yet
+    assert snapshots.current(spark, folder).count() == 3
+
+
+def test_sheets_that_do_not_fit_become_strings(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    text = spark.createDataFrame([('{"sheet_a": {"name": "x", "content": [["n", "s"], ["1", "a"], ["two", null]]}, "mate": 1}',), ("{",), (None,)], "t string")
+    cells = snapshots.cells_of(snapshots.sheets_of(text, "t"))
+    schema = StructType([StructField("n", LongType()), StructField("s", StringType())])
+    assert rows(snapshots.load_sheet(cells, schema)) == [("1", "a"), ("two", None)]
+    assert snapshots.load_sheet(cells.filter("row = 1"), schema).dtypes == [("n", "bigint"), ("s", "string")]
+
+
+def test_free_slot_wraps(spark):
+    used = spark.createDataFrame([(x,) for x in (1, 2, 4, 8, 9, 10)], "x int")
+    slot = lambda **how: sinks.free_slot(used, "x", **how).first()["slot"]
+    assert slot(low=1, high=10) == 3 and slot(preferred=8, low=1, high=10) == 3 and slot(size=3, low=1, high=10) == 5 and slot(size=4, low=1, high=10) is None
