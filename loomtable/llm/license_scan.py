@@ -156,8 +156,10 @@ def _with_runs(out: DataFrame, known: Column, least: float) -> DataFrame:
     """out with _found: the spans of _single, and the runs of lines that are licenses."""
     every = F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"])))
     out = out.withColumn("_own", F.array_intersect(_bigrams(F.array_remove(F.split("_norm", NO_WORD), "")), every))
-    # Templates of which the text holds enough bigrams.
-    out = out.withColumn("_likely", F.filter(known, lambda t: F.size(F.array_intersect("_own", t["grams"])) >= F.ceil(F.size(t["grams"]) * (least / (2 - least)) - 1e-9)))
+    # Templates of which the text holds enough bigrams. _own is bound once, or Spark would work
+    # it out anew for every template.
+    enough = lambda own: F.filter(known, lambda t: F.size(F.array_intersect(own, t["grams"])) >= F.ceil(F.size(t["grams"]) * (least / (2 - least)) - 1e-9))
+    out = out.withColumn("_likely", F.flatten(F.transform(F.filter(F.array("_own"), lambda own: F.size(own) > 0), enough)))
     lines = F.filter(F.transform(F.split("_norm", "\n"), lambda x: F.array_remove(F.split(x, NO_WORD), "")), lambda w: F.size(w) > 0)
     out = out.withColumn("_split", F.when(F.size("_likely") > 0, lines).otherwise(F.array().cast("array<array<string>>")))
     # Words of each line, and its bigrams with the one from the line before.
