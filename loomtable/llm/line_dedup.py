@@ -41,12 +41,12 @@ MULTIPLIER, PRIME = 31, 2147483647
 
 
 def _n_words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, SPACE), lambda w: w != ""))
+    return F.size(F.array_remove(F.split(line, SPACE), ""))
 
 
 def chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, _key, at (number of the first line, from 0), n_lines, chunk: the chunks to compare."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines")).filter(F.size("_lines") > 0)
+    lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
     facts = lines.select("doc_id", "_key", "_lines", F.transform("_lines", lambda x: F.struct(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"), _n_words(x).alias("w"))).alias("_f"))
     n = F.size("_lines")
     # A line and its predecessor (of the first line: none): does a chunk begin at the line?
@@ -64,7 +64,8 @@ def chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, mi
     sized = F.transform("_spans", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), words(s).alias("w")))
     facts = facts.withColumn("_sized", F.filter(sized, lambda s: (s["w"] >= min_words) & ((s["n_lines"] > 1) | (s["w"] >= long_words))))
     joined = F.transform("_sized", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), F.array_join(F.slice("_lines", s["at"] + 1, s["n_lines"]), "\n").alias("chunk")))
-    return facts.select("doc_id", "_key", F.inline(joined))
+    # The outer form, as the plain one has its input worked out once more for a filter of empty arrays.
+    return facts.select("doc_id", "_key", F.inline_outer(joined)).filter("at IS NOT NULL")
 
 
 def _place() -> Column:
@@ -85,12 +86,12 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
 
 def runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, _key, at, n_lines of every run of line pairs that occurred before."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
-    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w"))).alias("_f")).filter(F.size("_f") > 1)
+    lines = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
+    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w"))).alias("_f"))
     n = F.size("_f") - 1
     two = F.zip_with(F.slice("_f", F.lit(1), n), F.slice("_f", F.lit(2), n), lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b"), a["w"].alias("w"), b["w"].alias("w_next")))
-    pairs = staged(hashed.select("doc_id", "_key", F.posexplode(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
-    shared = lines.select(F.explode("_lines").alias("line")).distinct().groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    pairs = staged(hashed.select("doc_id", "_key", F.posexplode_outer(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
+    shared = lines.select(F.explode_outer("_lines").alias("line")).distinct().groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     shared = staged(shared, "lines-one-hash")
     if not shared.isEmpty():
         pairs = pairs.join(shared.toDF("a"), "a", "left_anti").join(shared.toDF("b"), "b", "left_anti")
