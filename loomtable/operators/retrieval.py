@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
-from ..functions.text import tokens
+from ..functions.text import fuzzy_score, tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -109,3 +109,30 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 def query_text(text: Column, keywords: Column) -> Column:
     """What is searched for: an input and its keywords."""
     return F.trim(F.concat_ws(" ", text, F.array_join(keywords, " ")))
+
+
+def fuzzy_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: float = 0.4) -> DataFrame:
+    """doc_id, item_id, score: whole items found in whole documents, by `fuzzy_score`.
+
+    Looked at are the pairs of a document and an item that share at least `least` of the item's
+    distinct word pairs; they come from a join on the word pairs, by 64-bit hashes. Items of
+    under two words match nothing. Repeated rows repeat their result, rows of one id with
+    different texts are matched alone, null ids stay null."""
+    def pair(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+
+    def grams(df: DataFrame, key: str, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias(name), F.xxhash64(text).alias(f"_{name}"), tokens(F.col(text)).alias("_w")).filter(F.size("_w") > 1)
+        rows = rows.withColumn("_p", pair(F.col("_w")))
+        return rows.select(name, f"_{name}", F.size("_p").alias(f"_n_{name}"), F.explode("_p").alias("_g"))
+
+    def texts(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_k"), F.col(text).alias(f"_text_{name}"))
+
+    shared = grams(docs, doc_id, "doc_id").drop("_n_doc_id").join(grams(items, item_id, "item_id"), "_g")
+    near = shared.groupBy("doc_id", "_doc_id", "item_id", "_item_id", "_n_item_id").agg(F.size(F.collect_set("_g")).alias("_n"))
+    near = near.filter(F.col("_n") >= F.ceil(F.lit(least) * F.col("_n_item_id") - 1e-9))
+    for df, key, name in ((items, item_id, "item_id"), (docs, doc_id, "doc_id")):
+        near = near.join(texts(df, key, name), (F.col(f"_{name}") == F.col("_k")) & F.col(name).eqNullSafe(F.col("_id"))).drop("_id", "_k")
+    return near.select("doc_id", "item_id", fuzzy_score(F.col("_text_item_id"), F.col("_text_doc_id")).alias("score")).filter("score > 0")

@@ -70,12 +70,8 @@ def text_digest(t):
 
 @query()
 def fuzzy_match(t):
-    """First 60 characters of benchmark items in the documents that hold their first words."""
-    pairs = lambda x: F.array_distinct(F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
-    items = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("target"), T.tokens(F.col("text")).alias("w")).select("item_id", "target", F.get(pairs(F.col("w")), F.lit(0)).alias("head"))
-    words = t.documents.select("doc_id", "text", T.tokens(F.col("text")).alias("w"))
-    places = words.select("doc_id", "text", F.explode(pairs(F.col("w"))).alias("head"))
-    return places.join(F.broadcast(items), "head").select("doc_id", "item_id", T.fuzzy_score(F.col("target"), F.col("text")).alias("score")).filter("score > 0")
+    """Whole benchmark items in whole documents."""
+    return retrieval.fuzzy_pairs(t.documents, t.benchmark)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

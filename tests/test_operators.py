@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,57 @@ def test_free_slot_wraps(spark):
     used = spark.createDataFrame([(x,) for x in (1, 2, 4, 8, 9, 10)], "x int")
     slot = lambda **how: sinks.free_slot(used, "x", **how).first()["slot"]
     assert slot(low=1, high=10) == 3 and slot(preferred=8, low=1, high=10) == 3 and slot(size=3, low=1, high=10) == 5 and slot(size=4, low=1, high=10) is None
+
+
+def brute_span(target, text):
+    """Every start and length in turn."""
+    if target in text:
+        return 1.0
+    sign = r"[^一-龥a-zA-Z0-9]"
+    want, plain = re.sub(sign, "", target), re.sub(sign, "", text)
+    n, keys, best = max(3, min(10, len(want) // 4)), [], 0.0
+    for size in (4, 3, 2):
+        for i in range(len(want) - size + 1):
+            keys += [want[i : i + size]] if want[i : i + size] not in keys and len(keys) < 5 else []
+    for i in range(len(plain)) if len(want) >= 10 else ():
+        for size in range(len(want) // 2, len(want) * 3 // 2 + 1) if plain.startswith(want[:n], i) else ():
+            span = plain[i : i + size]
+            if len(span) == size and span.endswith(want[-n:]):
+                score = sum(k in span for k in keys) / len(keys)
+                best = score if score >= 0.4 and score > best else best
+    return best
+
+
+def test_fuzzy_pairs_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, said(rng.randint(2, 40) if i % 3 else 5)) for i in range(15)] + [(None, said(12)), (99, "one"), (98, None), (97, ""), (3, said(9)), (96, "你好世界，这是一个测试的段落。今天天气很好")]
+    docs = [(100, None), (101, ""), (102, "你好世界这是一个测试的段落 今天天气很好啊"), (102, "其他")]
+    for i in range(150):
+        w = rng.choice([x for _, x in items if x and " " in x]).split()
+        for _ in range(rng.randint(0, 4)):  # edits within
+            w[rng.randrange(len(w))] = rng.choice(words)
+        part = rng.choice([" ", ", ", "\n"]).join(w)
+        part = part[:7] + rng.choice(["", "x", "xyz"]) + part[7:]  # within the keywords, past a short prefix
+        docs.append((rng.choice([i, i, i, None, 7]), f"{said(rng.randint(0, 60))} {part} {said(rng.randint(0, 60))}"))
+    docs += docs[-2:]
+
+    def pairs(x):
+        t = []
+        for run in re.findall(r"[a-z0-9_]+|[㐀-鿿]+", (x or "").lower()):
+            t += [run] if run[0].isascii() else [*run, *(run[i : i + 2] for i in range(len(run) - 1))]
+        return set(zip(t, t[1:], strict=False))
+
+    want = []
+    for d, text in docs:
+        for i, item in items:
+            p = pairs(item)
+            if p and len(p & pairs(text)) >= 0.4 * len(p) - 1e-9 and (score := brute_span(item, text)):
+                want.append((str(d), str(i), round(score, 6)))
+    a = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, score int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [(str(r.doc_id), str(r.item_id), round(r.score, 6)) for r in retrieval.fuzzy_pairs(a, b).collect()]
+    assert sorted(got) == sorted(want)
+    assert len({s for _, _, s in want}) > 2 and any(i == "96" for _, i, _ in want)
+    assert retrieval.fuzzy_pairs(a.limit(0), b).count() == retrieval.fuzzy_pairs(a, b.limit(0)).count() == 0
