@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session that names none (a local test) gets a temporary folder."""
+    Only a local session that names none (a test) gets a temporary folder; elsewhere executors
+    could not read it, so that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(spark, "_own_shared_dir", None):
         spark._own_shared_dir = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     return spark._own_shared_dir

@@ -1,6 +1,7 @@
 """The operators of loomtable.llm against SQL, brute force and exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -343,6 +344,36 @@ def brute_rules(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
+def brute_verdict(known, rows, labels):
+    """Kept or not by counts in Python; the buckets are Spark's hashes of the grams."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in known.items()}
+    grams = {d: [(x,) for x in w] + list(zip(w, w[1:])) for d, w in words.items()}
+    every = spark.createDataFrame([(x[0], x[1] if len(x) > 1 else None) for x in sorted({g for gs in grams.values() for g in gs}, key=str)], "a string, b string")
+    hashed = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
+    bucket = {(r.a,) if r.b is None else (r.a, r.b): r.g for r in every.select("a", "b", F.pmod(hashed, F.lit(quality_rules.BUCKETS)).alias("g")).collect()}
+    good = {x.doc_id: x.quality == 1 and not x.toxic for x in labels}
+    ids = spark.createDataFrame([(d,) for d in good], "d long")
+    held = {r.d for r in ids.filter(F.pmod(F.xxhash64("d", F.lit("held")), F.lit(quality_rules.HELD_OUT)) == 0).collect()}
+    raw, trusted = Counter(), Counter()
+    for d, gs in grams.items():
+        raw.update(bucket[g] for g in gs)
+        trusted.update(bucket[g] for g in gs if good.get(d) and d not in held)
+    n_raw, n_trusted = raw.total() + quality_rules.BUCKETS, trusted.total() + quality_rules.BUCKETS
+    score = {d: sum(math.log((trusted[bucket[g]] + 1) / n_trusted) - math.log((raw[bucket[g]] + 1) / n_raw) for g in gs) / len(gs) if gs else 0.0 for d, gs in grams.items()}
+    failed = {r.doc_id for r in rows if r.base_failed}
+    bad = {x.doc_id for x in labels if x.quality == 0}
+    seen = [d for d in held if d in score and d not in failed]
+    n_good, n_bad = sum(good[d] for d in seen), sum(d in bad for d in seen)
+    at = {d: round(score[d] / quality_rules.BIN) for d in seen}
+    value = {k: round(10 * sum(good[d] and at[d] >= k for d in seen) / n_good - sum(d in bad and at[d] >= k for d in seen) / max(1, n_bad), 9) for k in range(min(at.values()), max(at.values()) + 2)}
+    best = [(k - 0.5) * quality_rules.BIN for k in value if value[k] == max(value.values())]
+    least = (best[0] + best[-1]) / 2 if n_bad else min(score[d] for d in seen if good[d]) - 0.05
+    return {(r.doc_id, r.n_words): r.doc_id not in failed and score[r.doc_id] >= least for r in rows}
+
+
 def test_quality_rules(docs, odd, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     known = texts_of(docs)
@@ -354,6 +385,7 @@ def test_quality_rules(docs, odd, spark):
     kept = {r.doc_id for r in rows if r.kept}
     good = {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()} - {r.doc_id for r in rows if r.base_failed}
     assert len(good & kept) >= 0.9 * len(good)
+    assert {(r.doc_id, r.n_words): r.kept for r in rows} == brute_verdict(known, rows, labels.collect())
     assert quality_rules.judge(odd, labels).count() == len(ODD)
     assert quality_rules.judge(odd, labels.limit(0)).count() == len(ODD)
     assert quality_rules.judge(odd.limit(0), labels).count() == 0
