@@ -5,17 +5,18 @@ those more than half of whose words stand in three-word windows found twice or m
 
 The verdict on the others compares two multinomials over hashed word n-grams (one and two
 words): that of trusted documents and that of the raw corpus. The raw one counts every
-n-gram of every document, the trusted one every n-gram of every document labelled good (of
-repeated labels of an id the worst counts). A document's score is the mean of
-log p_trusted - log p_raw over its n-grams. One in `held_out` labelled ids, by hash, is kept
-out of the trusted counts; all of these set the threshold: the one at which the share of good
-rows kept, ten times over, less the share of bad rows kept is largest, the middle of such a
-range. Every document is held against that threshold; nothing is drawn at random or sampled,
-so runs agree and both sides grow with the corpus.
-
-Only DataFrame functions are used. The labels are a written table of a few bytes an id, so
-Spark knows its size: it is broadcast below spark.sql.autoBroadcastJoinThreshold, else joined
-by a shuffle on doc_id. The weights (`buckets` doubles) are bounded by the parameter.
+n-gram of every document. The trusted one is fitted on documents labelled good (of repeated
+labels of an id the worst counts), at most `fit` of them, by hash of doc_id. A document's
+score is the mean of log p_trusted - log p_raw over its n-grams. One in `held_out` of all
+labelled ids, by hash, is kept out of the fit, and all of these set the threshold: the one at
+which the share of good rows kept, ten times over, less the share of bad rows kept is
+largest, the middle of such a range. Every document is held against that threshold; nothing
+is drawn at random, so runs agree.
+
+Only DataFrame functions are used. What is broadcast is the ids of the fit (at most `fit`)
+and the weights (`buckets` doubles), both bounded by parameters. Fitting on all good labels
+would take a join of the whole texts by doc_id, 1.2 times the input in shuffles. The held-out
+labels, which grow with the corpus, are joined with the scores by a sort-merge join.
 
 Results of the odd cases: a null or empty text has no words and fails the rules; without
 trusted labels all weights are 0 and every document that passes the rules is kept; without
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-BUCKETS, HELD_OUT = 1 << 16, 5
+BUCKETS, FIT, HELD_OUT = 1 << 16, 20_000, 5
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\u000b\f\r"
@@ -103,10 +104,10 @@ def labelled(labels: DataFrame, held_out: int = HELD_OUT) -> DataFrame:
     return one.filter("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), "good", (F.col("quality") == 0).alias("bad"), held.alias("held"))
 
 
-def weights(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def weights(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, fit: int = FIT) -> DataFrame:
     """One row: w, the log-likelihood ratio of every bucket, add-one smoothed."""
-    trusted = known.filter("good = 1 AND NOT held").select("_id", F.lit(1).alias("t"))
-    flagged = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("t", F.lit(0)).cast("long").alias("t"), split_words(F.col("text")).alias("_w"))
+    trusted = known.filter("good = 1 AND NOT held").orderBy(F.xxhash64("_id"), "_id").limit(fit).select("_id", F.lit(1).alias("t"))
+    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("t", F.lit(0)).cast("long").alias("t"), split_words(F.col("text")).alias("_w"))
     counts = each_gram(flagged, ["t"], buckets).filter("g IS NOT NULL").groupBy(F.col("g").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("trusted"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     one = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("b"), F.sum("raw").alias("n_raw"), F.sum("trusted").alias("n_trusted"))
@@ -116,7 +117,7 @@ def weights(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS) -> DataFr
 
 def threshold(scored: DataFrame, known: DataFrame) -> float:
     """Where held-out good and bad rows part best; -inf without good ones."""
-    held = scored.filter(~F.col("base_failed")).select(F.col("doc_id"), "score").join(known.filter("held"), F.col("doc_id") == F.col("_id"))
+    held = scored.filter(~F.col("base_failed")).select(F.col("doc_id"), "score").join(known.filter("held").hint("merge"), F.col("doc_id") == F.col("_id"))
     bins = held.groupBy(F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), "score")) / BIN).cast("int").alias("bin")).agg(F.sum("good").alias("good"), F.sum(F.col("bad").cast("long")).alias("bad"), F.min(F.when(F.col("good") == 1, F.col("score"))).alias("least")).orderBy("bin").collect()  # at most 2,001 rows
     n_good, n_bad = sum(b["good"] for b in bins), sum(b["bad"] for b in bins)
     if not n_good:
@@ -136,11 +137,11 @@ def threshold(scored: DataFrame, known: DataFrame) -> float:
     return (best[0] + best[-1]) / 2
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, held_out: int = HELD_OUT) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit: int = FIT, held_out: int = HELD_OUT) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, _key of the text, the counts,
     base_failed, score, kept. The rows are a written table, without the texts."""
     known = staged(labelled(labels, held_out), "quality-labels")
-    ratios = staged(weights(docs, known, buckets), "quality-weights")
+    ratios = staged(weights(docs, known, buckets, fit), "quality-weights")
     facts = counted(docs.select("doc_id", "text")).withColumns({"_key": F.xxhash64(F.coalesce("text", F.lit(""))), "_row": F.monotonically_increasing_id()})
     of_row = [F.first(c).alias(c) for c in ("doc_id", "_key", *RESULTS)]
     sums = each_gram(facts, ["_row", "doc_id", "_key", *RESULTS], buckets).withColumn("v", F.get(ratios.scalar(), "g")).groupBy("_row").agg(*of_row, F.sum("v").alias("total"), F.count("v").alias("n"))
