@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, byte_bpe, decontaminate, html_extract, license_scan, line_dedup, quality_rules, token_ids, url_filter, warc
+from . import bag_minhash, byte_bpe, decontaminate, html_extract, license_scan, line_dedup, merkle, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.OP5_SQL,
         "op6_license_scan": license_scan.OP6_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
     }
