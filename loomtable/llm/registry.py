@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, byte_bpe, decontaminate, html_extract, license_scan, line_dedup, merkle, quality_rules, token_ids, url_filter, warc
+from . import bag_minhash, byte_bpe, conversations, decontaminate, html_extract, license_scan, line_dedup, merkle, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": license_scan.OP6_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
         "op11_merkle_manifest": merkle.OP11_SQL,
+        "op12_conversation_repair": conversations.OP12_SQL,
     }
