@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, byte_bpe, conversations, decontaminate, html_extract, license_scan, line_dedup, merkle, quality_rules, token_ids, url_filter, warc
+from . import bag_minhash, byte_bpe, conversations, decontaminate, fingerprints, html_extract, license_scan, line_dedup, merkle, quality_rules, token_ids, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
 
