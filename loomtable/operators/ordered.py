@@ -135,11 +135,13 @@ def overlapping(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_h
 
 
 def due(messages: DataFrame, scope: str, floor: str, recorded: Column, frequency: int, skip: int, window: int) -> DataFrame:
-    """scope, n_due, first, last: scopes with at least `frequency` unrecorded floors, less
-    the newest `skip`, of the last `window`."""
+    """scope, n_due, first, last: of scopes with at least `frequency` unrecorded floors, less the
+    newest `skip`, those of the last `window`; older ones are dropped."""
     top = messages.groupBy(scope).agg(F.max(floor).alias("_top"))
-    eligible = messages.join(top, scope).filter((F.col(floor) <= F.col("_top") - skip) & (F.col(floor) > F.col("_top") - skip - window) & ~recorded)
-    return eligible.groupBy(scope).agg(F.count(F.lit(1)).alias("n_due"), F.min(floor).alias("first"), F.max(floor).alias("last")).filter(F.col("n_due") >= frequency)
+    fresh = messages.join(top, scope).filter((F.col(floor) <= F.col("_top") - skip) & ~recorded)
+    at = F.when(F.col(floor) > F.col("_top") - skip - window, F.col(floor))
+    found = fresh.groupBy(scope).agg(F.count(F.lit(1)).alias("_fresh"), F.count(at).alias("n_due"), F.min(at).alias("first"), F.max(at).alias("last"))
+    return found.filter((F.col("_fresh") >= frequency) & (F.col("n_due") > 0)).drop("_fresh")
 
 
 def to_merge(rows: DataFrame, scope: str, order: str, threshold: int, reserve: int) -> DataFrame:

@@ -211,7 +211,35 @@ def stream_keep_table(t):
     return triggers.table_of(t.spark, schema, folder, "user_id", ["event_id"], ["event_type", "value"], q.lastProgress["batchId"])
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(t):
-    """Hourly counts; windows that the watermark has not passed are not out yet."""
-    return triggers.collected(triggers.windowed(_stream(t, "events"), "ts", ["event_type"], "1 hour", "2 hours"), "windows")
+    """Hourly counts; the row at the end of time closes the last window."""
+    found = triggers.collected(triggers.windowed(triggers.closed(_stream(t, "events"), "ts"), "ts", ["event_type"], "1 hour", "2 hours"), "windows")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS x FROM events), c AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM b)
+SELECT min(ts) AS start, max(ts) AS last, user_id, count(*) AS n FROM c GROUP BY user_id, s""")
+def stream_sessions(t):
+    """A user's events less than six hours apart."""
+    found = triggers.collected(triggers.sessions(triggers.closed(_stream(t, "events"), "ts"), "ts", ["user_id"], "6 hours", "1 hour"), "sessions")
+    return found.filter("user_id IS NOT NULL").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")})
+
+
+@query("SELECT v.event_id AS view_id, p.event_id AS purchase_id, v.user_id FROM events v LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 2 DAY WHERE v.event_type = 'view'")
+def stream_interval_join(t):
+    """Each view with the purchases of its user within two days, or none."""
+    events = triggers.closed(_stream(t, "events").select("event_id", "ts", "user_id", "event_type"), "ts", user_id=-1)
+    kind = lambda k, name: events.filter(F.col("event_type").isNull() | (F.col("event_type") == k)).select(F.col("event_id").alias(name), "ts", "user_id")
+    found = triggers.collected(triggers.interval_joined(kind("view", "view_id"), kind("purchase", "purchase_id"), ["user_id"], "ts", "2 days", "1 hour", "leftOuter"), "joined")
+    return found.filter("view_id IS NOT NULL").select("view_id", "purchase_id", "user_id")
+
+
+DUE = "SELECT conv_id, count(*) AS n_due, min(floor)::BIGINT AS first, max(floor)::BIGINT AS last FROM (SELECT *, max(floor) OVER (PARTITION BY conv_id) AS top FROM (SELECT conv_id, turn, sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS floor, role FROM conversations)) WHERE role <> 'user' AND floor <= top - 1 AND floor > top - 9 GROUP BY conv_id HAVING count(*) >= 2"
+
+
+@query(DUE)
+def stream_due_floors(t):
+    """The plan of stream_count_trigger from a stream's state."""
+    floors = _stream(t, "conversations").filter("role <> 'user'")
+    return triggers.collected(triggers.due_floors(floors, "conv_id", 2, 1, 8), "due", rocks=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jsons, numbers
 from ..functions import text as T
 from ..operators import retrieval
+from ..operators.containment import contained
 from ..operators.expansion import expand
 from ..operators.ordered import within_budget
 from ..sources import markdown, vectors
@@ -170,15 +171,35 @@ def budget_topk(t):
     return within_budget(rows, "source", ["doc_id"], "cost", 5000, 6)
 
 
-@query("""WITH RECURSIVE e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
-f AS (SELECT id, 1 AS round FROM e WHERE list_has_any(list_filter(list_slice(w, 1, 3), lambda x: length(x) > 3), ['heed', 'that', 'erblest', 'estion'])),
-x(id, round) AS (SELECT * FROM f UNION SELECT b.id, x.round + 1 FROM x JOIN e a ON a.id = x.id JOIN e b ON list_has_any(list_filter(list_slice(b.w, 1, 3), lambda y: length(y) > 3), a.w) WHERE x.round < 10)
+#: Of each item: its second to fifth sign (part of a word) and its first two words (a phrase).
+ITEM_KEYS = "[substr(lower(text), 2, 4), regexp_extract(lower(text), '[a-z]+ [a-z]+')]"
+
+
+def _item_keys():
+    text = F.lower("text")
+    return F.array(F.substring(text, 2, 4), F.regexp_extract(text, "[a-z]+ [a-z]+", 0))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT item_id AS id, lower(text) AS t, list_filter({ITEM_KEYS}, lambda k: trim(k, ' ') <> '') AS k, item_id % 13 = 0 AS constant, item_id % 5 <> 0 AS follows, item_id % 7 <> 0 AS passes FROM benchmark),
+said AS (SELECT DISTINCT a.id AS of, b.id AS id FROM e a JOIN (SELECT id, unnest(k) AS k FROM e WHERE follows AND NOT constant) b ON contains(a.t, b.k) WHERE a.passes),
+x AS (SELECT id, 0 AS round FROM e WHERE constant UNION SELECT id, 1 FROM (SELECT id, unnest(k) AS k FROM e WHERE NOT constant) WHERE contains('and then the heart of the others was there', k)
+      UNION SELECT s.id, x.round + 1 FROM x JOIN said s ON s.of = x.id WHERE x.round < 10)
 SELECT id AS entry_id, min(round)::INTEGER AS round FROM x GROUP BY id""")
 def keyword_expansion(t):
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    own = F.filter(F.slice(F.array_remove(words, ""), 1, 3), lambda x: F.length(x) > 3)
-    entries = t.benchmark.select(F.col("item_id").alias("entry_id"), own.alias("keywords"), F.col("text").alias("content"), F.lit(False).alias("constant"), F.lit(True).alias("passes_on"), F.lit(True).alias("can_follow"))
-    return expand(entries, "heed that erblest estion").groupBy("entry_id").agg(F.min("round").alias("round"))
+    entries = t.benchmark.select(F.col("item_id").alias("entry_id"), _item_keys().alias("keywords"), F.col("text").alias("content"), (F.col("item_id") % 13 == 0).alias("constant"), (F.col("item_id") % 7 != 0).alias("passes_on"), (F.col("item_id") % 5 != 0).alias("can_follow"))
+    return expand(entries, "And then the heart of the others was there")
+
+
+@query(f"SELECT DISTINCT doc_id, k AS keyword FROM documents JOIN (SELECT unnest({ITEM_KEYS}) AS k FROM benchmark) ON trim(k, ' ') <> '' AND contains(lower(text), k)")
+def join_contained(t):
+    """Every document with every item's phrase or part of a word that it holds."""
+    return contained(t.documents, "doc_id", "text", t.benchmark.select(F.explode(_item_keys()).alias("keyword")))
+
+
+@query(f"SELECT DISTINCT doc_id, k AS keyword FROM documents JOIN (SELECT unnest({ITEM_KEYS}) AS k FROM benchmark) ON trim(k, ' ') <> '' AND contains(lower(text), k)")
+def join_contained_by_grams(t):
+    """The same as if the keywords were too many for an automaton."""
+    return contained(t.documents, "doc_id", "text", t.benchmark.select(F.explode(_item_keys()).alias("keyword")), signs=100)
 
 
 @query("SELECT n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation")
