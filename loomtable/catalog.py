@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.query import TableQuery
 
-READS = ("select", "with", "explain", "describe", "show", "values", "table")
-WRITES = {"insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "replace", "cache", "uncache", "refresh", "set", "reset", "add", "use", "load"}
 #: Error conditions of Spark by what they mean to a caller.
 CODES = {"TABLE_OR_VIEW_NOT_FOUND": "table_not_found", "UNRESOLVED_COLUMN": "column_not_resolved", "AMBIGUOUS_REFERENCE": "alias_conflict", "PARSE_SYNTAX_ERROR": "sql_error"}
 
@@ -22,13 +21,26 @@ class QueryError(ValueError):
 
 
 def is_read_only(sql: str) -> bool:
-    """One statement that begins as a read; strings and comments aside, no writing word leads
-    any of its parts."""
-    plain = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
-    words = re.findall(r"[a-z_]+", plain.lower())
-    if not words or words[0] not in READS or ";" in plain or re.search(r"\binsert\s+(into|overwrite)\b", plain.lower()):
-        return False
-    return words[0] != "with" or not WRITES & set(re.findall(r"\)\s*([a-z]+)\b", plain.lower()))
+    """One statement whose parsed plan holds no command but those that show or describe. What
+    doesn't parse can't run, so it passes for the error it will give, unless it is several."""
+    spark = SparkSession.active()
+    jvm, session = spark.sparkContext._jvm, spark._jsparkSession
+    try:
+        plan = session.sessionState().sqlParser().parsePlan(sql)
+    except ParseException:
+        return ";" not in re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
+    logical = jvm.org.apache.spark.sql.catalyst.plans.logical
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        changes = any(is_instance_of(spark.sparkContext._gateway, node, kind) for kind in (logical.Command, logical.ParsedStatement))
+        if changes and not name.startswith(("Show", "Describe", "Explain")):
+            return False
+        if not name.startswith("Explain"):
+            children = node.children()
+            waiting += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 class Catalog:

@@ -13,19 +13,32 @@ from pyspark.sql import functions as F
 
 
 def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """What makes `after` of `before` (same columns): upserts with their cells, deletes."""
+    """What makes `after` of `before` (same columns): upserts with their cells, deletes. A null
+    key is a key like others; where keys repeat, delta_fault says so and a snapshot is needed."""
     cells = [c for c in after.columns if c != key]
-    a = after.select(F.col(key).alias("_k"), F.struct(*cells).alias("_new"))
-    b = before.select(F.col(key).alias("_o"), F.struct(*cells).alias("_old"))
-    both = a.join(b, F.col("_k") == F.col("_o"), "full_outer").filter(F.col("_k").isNull() | F.col("_o").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
-    op = F.when(F.col("_k").isNull(), "delete").otherwise("upsert")
+    a = after.select(F.col(key).alias("_k"), F.struct(*cells).alias("_new"), F.lit(True).alias("_is_new"))
+    b = before.select(F.col(key).alias("_o"), F.struct(*cells).alias("_old"), F.lit(True).alias("_was"))
+    both = a.join(b, F.col("_k").eqNullSafe(F.col("_o")), "full_outer").filter(F.col("_is_new").isNull() | F.col("_was").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
+    op = F.when(F.col("_is_new").isNull(), "delete").otherwise("upsert")
     return both.select(F.coalesce("_k", "_o").alias(key), op.alias("op"), *[F.col(f"_new.{c}").alias(c) for c in cells])
 
 
+def delta_fault(before: DataFrame | None, after: DataFrame, key: str) -> str | None:
+    """Why a change can't be told row by row and a whole snapshot must be kept: no_base,
+    columns_changed, or unstable_ids (blank or repeated on either side); None if it can."""
+    if before is None:
+        return "no_base"
+    if [(f.name, f.dataType) for f in before.schema] != [(f.name, f.dataType) for f in after.schema]:
+        return "columns_changed"
+    stable = stable_ids(before, key).union(stable_ids(after, key)).agg(F.min("stable")).first()[0]
+    return None if stable else "unstable_ids"
+
+
 def apply_delta(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """base less the changed keys, with the upserts. A delete of an unknown key says nothing."""
     upserts = changes.filter("op = 'upsert'").select(*base.columns)
-    return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(upserts)
+    gone = changes.select(F.col(key).alias("_gone"))
+    return base.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti").select(*base.columns).unionByName(upserts)
 
 
 def stable_ids(df: DataFrame, key: str) -> DataFrame:
@@ -115,9 +128,27 @@ def remapped_ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return ranked.filter("_nth = 1").drop("_nth").unionByName(with_row_ids(df, again, [key, *order], key))
 
 
-def conflicts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Cells that two sets of edits (key, column) both write."""
-    return a.select(key, "column").intersect(b.select(key, "column"))
+def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: the ids of units of two write sets that touch each other. A unit is (id, kind, sheet,
+    row, column): kind all touches everything, sheet and schema all of their sheet, row the row
+    and its cells, cell the same cell and its row. Each unit stands at its own place (all, or a
+    sheet, row or cell of it) and looks at that place and those above it; two units touch where
+    one stands at a place that the other looks at, so equal joins find every pair, and pairs are
+    listed once. A unit of another kind touches its sheet, one without a sheet only `all`."""
+    level = F.when(F.col("kind") == "all", 0).when(F.col("kind") == "row", 2).when(F.col("kind") == "cell", 3).otherwise(1)
+    places = F.array(F.array(F.lit("all")), F.array(F.lit("sheet"), F.col("sheet")), F.array(F.lit("row"), F.col("sheet"), F.col("row")), F.array(F.lit("cell"), F.col("sheet"), F.col("row"), F.col("column")))
+
+    def units(df: DataFrame, name: str) -> DataFrame:
+        known = df.withColumns({"_level": level, "_places": F.transform(places, lambda p: F.to_json(F.transform(p, lambda x: F.coalesce(x, F.lit("\0")))))})
+        homeless = F.col("sheet").isNull() & (F.col("_level") > 0)
+        own = F.when(~homeless, F.col("_places")[F.col("_level")])
+        return known.select(F.col("id").alias(name), "_level", own.alias("_own"), F.slice("_places", F.lit(1), F.when(homeless, 1).otherwise(F.col("_level") + 1)).alias("_above"))
+
+    x, y = units(a, "a"), units(b, "b")
+    up = lambda df, name: df.select(name, "_level", F.explode("_above").alias("_own"))
+    below = up(x, "a").withColumnRenamed("_level", "_from").join(y, "_own").select("a", "b")
+    above = up(y, "b").withColumnRenamed("_level", "_from").join(x, "_own").filter("_from > _level").select("a", "b")
+    return below.unionAll(above)
 
 
 def locked(edits: DataFrame, locks: DataFrame, key: str) -> DataFrame:

@@ -15,19 +15,31 @@ from ..functions.numbers import with_row_ids
 KINDS = ("insert", "replace", "update", "delete")
 
 
-def mutated(df: DataFrame, kind: str, where: Column | None = None, changes: dict[str, Column] | None = None, rows: DataFrame | None = None, key: str | None = None, hidden: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def mutated(df: DataFrame, kind: str, where: Column | None = None, changes: dict[str, Column] | None = None, rows: DataFrame | None = None, key: str | None = None, hidden: tuple[str, ...] = (), order: list[str] | None = None, defaults: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The table after an insert or replace of rows (by key), or an update or delete of the rows
-    where a condition holds; and (affected). Hidden columns can't be written."""
+    where a condition holds; and (affected). Hidden columns can't be written. Columns that rows
+    don't have take their default, else null. An insert of a key that is there, or twice among
+    rows, is an error and changes nothing; so is a replace by rows with a repeated key, unless
+    `order` (columns of rows alone) says which is the last, which wins."""
     if kind not in KINDS:
         raise ValueError(f"{kind!r} is no write of rows")
     written = set(changes or {}) | (set(rows.columns) if rows is not None else set())
     if refused := sorted(written & set(hidden)):
         raise ValueError(f"hidden columns can't be written: {', '.join(refused)}")
-    if unknown := sorted(written - set(df.columns)):
+    if unknown := sorted(written - set(df.columns) - set(order or ())):
         raise ValueError(f"no such columns: {', '.join(unknown)}")
     if kind in ("insert", "replace"):
-        old = df.join(rows.select(key).distinct(), key, "left_anti").select(*df.columns) if kind == "replace" else df
-        return old.unionByName(rows, allowMissingColumns=True).select(*df.columns), rows.agg(F.count(F.lit(1)).alias("affected"))
+        if key is not None:
+            if kind == "replace" and order:
+                cells = [c for c in rows.columns if c != key]
+                rows = rows.groupBy(key).agg(F.max_by(F.struct(*cells), F.struct(*order)).alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in cells])
+            elif not rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+                raise ValueError(f"rows repeat a {key}")
+            if kind == "insert" and not df.select(key).join(rows.select(key), key, "left_semi").isEmpty():
+                raise ValueError(f"a {key} is there already")
+        old = df.join(rows.select(key), key, "left_anti").select(*df.columns) if kind == "replace" else df
+        new = rows.drop(*(order or ())).withColumns({c: d.cast(df.schema[c].dataType) for c, d in (defaults or {}).items() if c not in rows.columns})
+        return old.unionByName(new, allowMissingColumns=True).select(*df.columns), new.agg(F.count(F.lit(1)).alias("affected"))
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     affected = df.agg(F.count_if(hit).alias("affected"))
     if kind == "delete":
@@ -49,14 +61,17 @@ def placed(df: DataFrame, order: list[str], place: str = "place") -> DataFrame:
 
 
 def at_places(df: DataFrame, order: list[str], key: str, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edits by 0-based place: (place, column, value) sets a cell, a null column deletes the row.
-    The table after them, and the edits that meet no row or no column."""
+    """Edits by 0-based place: (place, column, value, seq) sets a cell, a null column deletes the
+    row. Of several edits of a cell the last by seq wins (without a
+    seq: the greatest value). The table after them, and the edits
+    (place, column, value) that meet no row or no column, or would change the key."""
     of = placed(df.select(key, *[c for c in order if c != key]), order).select("place", key)
     known = edits.join(of, "place", "left")
-    refused = known.filter(F.col(key).isNull() | ~(F.col("column").isNull() | F.col("column").isin(df.columns))).select("place", "column", "value")
+    cells_of = [c for c in df.columns if c != key]
+    refused = known.filter(F.col(key).isNull() | ~(F.col("column").isNull() | F.col("column").isin(cells_of))).select("place", "column", "value")
     good = known.filter(F.col(key).isNotNull())
     kept = df.join(good.filter("column IS NULL").select(key).distinct(), key, "left_anti").select(*df.columns)
-    cells = good.filter(F.col("column").isin(df.columns)).groupBy(key, "column").agg(F.max("value").alias("value"))
+    cells = good.filter(F.col("column").isin(cells_of)).groupBy(key, "column").agg((F.max_by("value", "seq") if "seq" in edits.columns else F.max("value")).alias("value"))
     of_row = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_cells"))  # a row's columns at most
     joined = kept.join(of_row, key, "left")
     new = lambda c: F.when(F.coalesce(F.map_contains_key("_cells", F.lit(c)), F.lit(False)), F.col("_cells")[c].cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)

@@ -107,10 +107,19 @@ def locked_edits(t):
     return changes.edited(t.nation, changes.locked(edits.unionByName(more), locks, "n_nationkey"), "n_nationkey").select("n_nationkey", "n_name")
 
 
-@query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+#: Write sets made of the tables: kinds all, sheet, schema, row, cell over customers' segments.
+UNITS_A = "SELECT c_custkey AS id, CASE WHEN c_custkey = 700 THEN 'all' WHEN c_custkey % 400 = 1 THEN 'sheet' WHEN c_custkey % 3 = 0 THEN 'cell' ELSE 'row' END AS kind, c_mktsegment || (c_nationkey // 2) AS sheet, (c_custkey // 10)::VARCHAR AS row, CASE WHEN c_custkey % 2 = 0 THEN 'name' ELSE 'balance' END AS col FROM customer"
+UNITS_B = "SELECT c_custkey AS id, CASE WHEN c_custkey % 500 = 7 THEN 'schema' WHEN c_custkey % 4 = 0 THEN 'row' ELSE 'cell' END AS kind, c_mktsegment || (c_nationkey // 2) AS sheet, (c_custkey // 10)::VARCHAR AS row, CASE WHEN c_custkey % 5 = 0 THEN 'name' ELSE 'balance' END AS col FROM customer"
+
+
+@query(f"""SELECT a.id AS a, b.id AS b FROM ({UNITS_A}) a JOIN ({UNITS_B}) b ON a.kind = 'all' OR b.kind = 'all' OR (a.sheet = b.sheet AND (a.kind IN ('sheet', 'schema') OR b.kind IN ('sheet', 'schema') OR (a.row = b.row AND (a.kind = 'row' OR b.kind = 'row' OR a.col = b.col))))""")
 def write_conflicts(t):
-    edits = lambda k: t.orders.filter(F.col("o_orderkey") % k == 0).select("o_orderkey", F.lit("o_orderstatus").alias("column"))
-    return changes.conflicts(edits(2), edits(3), "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    key, of = F.col("c_custkey"), lambda c, n: F.col("c_custkey") % c == n
+    sheet = F.concat("c_mktsegment", F.floor(F.col("c_nationkey") / 2))
+    row = F.floor(key / 10).cast("string")
+    a = t.customer.select(key.alias("id"), F.when(key == 700, "all").when(of(400, 1), "sheet").when(of(3, 0), "cell").otherwise("row").alias("kind"), sheet.alias("sheet"), row.alias("row"), F.when(of(2, 0), "name").otherwise("balance").alias("column"))
+    b = t.customer.select(key.alias("id"), F.when(of(500, 7), "schema").when(of(4, 0), "row").otherwise("cell").alias("kind"), sheet.alias("sheet"), row.alias("row"), F.when(of(5, 0), "name").otherwise("balance").alias("column"))
+    return changes.conflicts(a, b)
 
 
 @query("SELECT n_nationkey AS id FROM nation UNION ALL SELECT 24 + row_number() OVER (ORDER BY r_regionkey) FROM region")

@@ -47,8 +47,8 @@ def write_seed(t):
 def write_at_places(t):
     rows = t.nation.select("n_nationkey", "n_name")
     places = t.nation.select((F.col("n_nationkey")).cast("long").alias("place"))
-    edits = places.filter("place % 5 = 0").select("place", F.lit("n_name").alias("column"), F.lit("first of five").alias("value")).unionByName(places.filter("place % 5 = 2").select("place", F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value")))
-    return writes.at_places(rows, ["n_name"], "n_nationkey", edits)[0]
+    edits = places.filter("place % 5 = 0").select("place", F.lit("n_name").alias("column"), F.explode(F.array(F.lit("z is earlier"), F.lit("first of five"))).alias("value")).unionByName(places.filter("place % 5 = 2").select("place", F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value")))
+    return writes.at_places(rows, ["n_name"], "n_nationkey", edits.withColumn("seq", F.length("value")))[0]
 
 
 @query("SELECT o.n_nationkey AS op, count(c_custkey) AS n_rows, CASE WHEN count(c_custkey) = 1 THEN min(c_custkey) END AS c_custkey FROM nation o LEFT JOIN customer c ON c_mktsegment = 'BUILDING' AND c_nationkey = o.n_nationkey GROUP BY 1")

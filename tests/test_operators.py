@@ -50,6 +50,8 @@ def test_keyword_predicate(spark):
 def test_read_only_gate(spark, people):
     assert is_read_only("select 'drop table x; --' as a") and is_read_only("WITH a AS (SELECT 1) SELECT * FROM a")
     assert not is_read_only("with a as (select 1 x) from a insert into b select *")
+    assert not is_read_only(r"with a as (select '\' , ' as x) from a insert into t select x, 'q'")
+    assert is_read_only("explain insert into b select 1") and is_read_only("show tables") and not is_read_only("set a=1")
     assert not is_read_only("drop table a") and not is_read_only("select 1; delete from a") and not is_read_only("WITH a AS (SELECT 1) INSERT INTO b SELECT 1")
     c = Catalog(spark)
     c.register("people", people, ("folk",), hidden=("n",))
@@ -85,6 +87,36 @@ def test_expansion(spark):
     assert rows(expand(df, "Fire!")) == [(1, 1), (2, 2), (4, 0)]
 
 
+def test_null_and_unstable_keys_in_deltas(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b")], "id long, v string")
+    assert changes.delta(df, df, "id").count() == 0
+    d = changes.delta(df, df.withColumn("v", F.lit("c")), "id")
+    assert rows(changes.apply_delta(df, d, "id")) == [(1, "c"), (None, "c")]
+    fine = df.filter("id = 1")
+    assert changes.delta_fault(None, df, "id") == "no_base" and changes.delta_fault(fine, fine, "id") is None
+    assert changes.delta_fault(fine, fine.withColumn("w", F.lit(1)), "id") == "columns_changed"
+    assert changes.delta_fault(fine, fine.union(fine), "id") == changes.delta_fault(df, fine, "id") == "unstable_ids"
+
+
+def test_inserts_and_replaces_by_key(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, v string, n int")
+    new = lambda *ids: spark.createDataFrame([(i, f"new {k}", k) for k, i in enumerate(ids)], "id long, v string, seq int")
+    for kind, ids in (("insert", (1,)), ("insert", (3, 3)), ("replace", (3, 3))):
+        with pytest.raises(ValueError):
+            writes.mutated(df, kind, rows=new(*ids).drop("seq"), key="id")
+    table, n = writes.mutated(df, "insert", rows=new(3).drop("seq"), key="id", defaults={"n": F.lit(9)})
+    assert rows(table) == [(1, "a", 1), (2, "b", 2), (3, "new 0", 9)] and n.first()[0] == 1
+    table, n = writes.mutated(df, "replace", rows=new(2, 3, 2), key="id", order=["seq"])
+    assert rows(table) == [(1, "a", 1), (2, "new 2", None), (3, "new 1", None)] and n.first()[0] == 2
+
+
+def test_last_edit_by_place_wins_and_keys_stay(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    edits = spark.createDataFrame([(0, "v", "zz", 1), (0, "v", "aa", 2), (1, "id", "7", 3)], "place long, column string, value string, seq int")
+    table, refused = writes.at_places(df, ["id"], "id", edits)
+    assert rows(table) == [(1, "aa"), (2, "b")] and rows(refused) == [(1, "id", "7")]
+
+
 def test_bm25_of_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert retrieval.bm25(docs, ["a b"]).count() == 0
