@@ -6,12 +6,15 @@ role, or a word of their class or id. Every block of running text then passes po
 the elements around it: one, one for each comma, and one for each hundred characters up to
 three; the parent gets them whole, the grandparent half, the k-th above it 1/(3k), up to
 `LEVELS` above. An element's points are discounted by the share of its text that stands in
-links. The best element, or the article or main element around it, is the article, with those
-of its siblings that score well beside it and what stands between these; headings, lists,
-tables, paragraphs and bare text beside it stay unless they are mostly links.
-
-An element is never cut for the words of its class or id where it holds more than half of the
-page's text, unless they name reader comments. All passes are linear in the page: open tags
+links. The best element is taken, or the article or main element around it; without such a one
+the lowest element around it that holds nearly all of the page's text outside links, so an article in
+many boxes stays whole. With it go those of its siblings that score well beside it and what
+stands between these; headings, lists, tables, paragraphs and bare text beside it stay unless
+they are mostly links.
+
+A cut for the words of a class or id is taken back where the article must be inside, as no
+other text is on the page (see take_back), unless the words name reader comments; how much of
+the page an element holds never decides it alone. All passes are linear in the page: open tags
 are counted, sums go from the leaves up, nothing recurses.
 
 Results of the odd cases: null or empty html, and pages without text, give an empty text;
@@ -43,14 +46,18 @@ ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs combx comment comments commentlist community consent cookie cookies discussion disclaimer disqus "
     "footer footnav foot gdpr header masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification alert pager pagination popup promo promoted promotion related remark replies reply respond "
-    "response responses rss share sharing shoutbox sidebar sidebars sidenav skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar tracking warning widget widgets".split()
+    "response responses rss share sharing shoutbox sidebar sidebars sidenav skyscraper social sponsor sponsored sponsors subscribe subscription thread threads toolbar topbar tracking warning widget widgets".split()
 )
 #: Words that name what readers wrote: cut however long it is.
-READERS = frozenset("combx comment comments commentlist discussion disqus replies reply respond response responses shoutbox".split())
+READERS = frozenset("combx comment comments commentlist discussion disqus replies reply respond response responses shoutbox thread threads".split())
 LIKELY = frozenset("article articlebody body content entry hentry main page post story text".split())
 #: Elements kept beside the best one unless they are mostly links.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure center".split())
 LEVELS = 20
+#: So much text outside cut elements and links is an article, or may be.
+TEXT_CHARS = 25
+#: The share of the page's text outside links that the article holds, if no element is marked as one.
+NEARLY_ALL = 0.9
 CUT_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -170,18 +177,46 @@ def elements(root: Element) -> list[Element]:
     return out
 
 
-def keep_bulk(root: Element) -> None:
-    """Takes back cuts that only class words gave, of elements with most of the page's text."""
+def take_back(root: Element) -> None:
+    """Takes back cuts that only class words gave, where the article must be inside: if nothing
+    else has text of its own, the cut element with most text, and if that has none outside a cut
+    element in it, the largest in there, and so on; if no article or main element is left but cut
+    ones are, those around the longest, should it be longer than all that is left."""
     found = elements(root)
+    softs: dict[int, list[Element]] = {}
+    above: dict[int, Element | None] = {id(root): None}
+    free, whole = Counter(), Counter()  # text that is not in a link: outside cut elements inside an element, and all
+    in_link: dict[int, bool] = {}
+    for node in found:
+        if node.parent is not None:
+            above[id(node)] = node.parent if node.parent.cut else above[id(node.parent)]
+        in_link[id(node)] = node.tag == "a" or (node.parent is not None and in_link[id(node.parent)])
+        if node.cut:
+            softs.setdefault(id(above[id(node)]), []).append(node)
+        if not in_link[id(node)]:
+            own = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+            free[id(node)] += own
+            whole[id(node)] += own
     for node in reversed(found):
-        node.chars += sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         if node.parent is not None:
-            node.parent.chars += node.chars
-    half = root.chars / 2
-    for node in found:
-        if node.soft and node.chars > half:
-            node.cut = False
-        node.chars = 0
+            whole[id(node.parent)] += whole[id(node)]
+            free[id(node.parent)] += 0 if node.cut else free[id(node)]
+    at, key = root, id(None)
+    while free[id(at)] < TEXT_CHARS and softs.get(key):
+        at = max(softs[key], key=lambda x: whole[id(x)])
+        if not whole[id(at)]:
+            return
+        at.cut, key = False, id(at)
+    if at is not root:
+        return
+    marked = [x for x in found if x.tag in ("article", "main")]
+    inside = [x for x in marked if not x.cut and above[id(x)] is not None]
+    if inside and len(inside) == len(marked):
+        best = max(inside, key=lambda x: free[id(x)])
+        if free[id(best)] > free[id(root)]:
+            node = above[id(best)]
+            while node is not None:
+                node.cut, node = False, above[id(node)]
 
 
 def running(node: Element) -> Iterator[tuple[Element, str, bool]]:
@@ -273,11 +308,32 @@ def beside(best: Element) -> list[Element | str]:
     return [x for i, x in enumerate(parts) if fits(x) or (certain[0] < i < certain[-1] and links(x) < 0.5)]
 
 
+def container(best: Element, root: Element) -> Element:
+    """The lowest element around best with nearly all of the page's text that is in no link."""
+    most = (root.chars - root.linked) * NEARLY_ALL
+    while best.chars - best.linked < most and best.parent is not None:
+        best = best.parent
+    return best
+
+
+def without_lists_of_links(node: Element) -> None:
+    """Cuts the children of node, and of elements that hold most of its text, which are mostly
+    links."""
+    while True:
+        inner = [x for x in node.parts if isinstance(x, Element) and not x.cut and x.tag in BLOCK and x.tag not in TEXTUAL]
+        for x in inner:
+            x.cut = x.linked * 2 > x.chars
+        large = [x for x in inner if not x.cut and x.chars * 2 > node.chars]
+        if not large:
+            return
+        node = large[0]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    keep_bulk(root)
+    take_back(root)
     ranked = score(root)
     if not ranked:
         return ""
@@ -285,7 +341,11 @@ def main_text(page: str | None) -> str:
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.parent
-    best = node or best  # an article is taken whole, whichever part of it scores best
+    if node is not None:  # an article is taken whole, whichever part of it scores best
+        best = node
+    elif (around := container(best, root)) is not best:
+        best = around
+        without_lists_of_links(best)
     if best is root or best.parent is None:
         return "\n\n".join(text for _, text, _ in blocks(root))
     frame = Element("div", None)
