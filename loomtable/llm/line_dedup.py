@@ -12,11 +12,12 @@ the bytes of the chunk, as the grouping key of an aggregate and of a join. Of eq
 the first one stays (least doc_id, then least text key, then place in the text), the others
 lose their lines.
 
-A passage of few lines may hold no whole chunk. So equal pairs of neighbouring lines are
-extended to runs as well: a pair that occurred before is marked, marked pairs in a row are a
-run, and a run of `run_words` words or more loses its lines like a repeated chunk. Pairs are
-matched by the 64-bit hashes of their lines; the lines' bytes are compared over the corpus,
-and lines of unlike bytes under one hash are in no pair.
+A passage of few lines may hold no whole chunk. So passages of `run_words` words or more are
+compared as well: from each line, and up to each line, the shortest of two lines or more. Any
+longer repeat is made of such passages, and nothing goes that is not in one that occurred before.
+Only lines whose pairs with their neighbours occur more than once can be in a repeat; the others
+are left out after a count of pairs. Pairs and passages are told by 128 bits of hash. Where a
+passage overlaps its own first occurrence (a line said over and over), that one stays whole.
 
 Work is spread by the chunks' bytes. A chunk that occurs often is reduced to its first place
 before the shuffle and written as a table, so the join that marks its copies is a plain
@@ -84,23 +85,60 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
     return marked.filter(~_place().eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "n_lines")
 
 
-def runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, _key, at, n_lines of every run of line pairs that occurred before."""
+def _long(*columns: Column | int) -> Column:
+    return F.xxhash64(*[F.lit(c) if isinstance(c, int) else c for c in columns])
+
+
+def shared_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, _key, run, at, words, p, q: the lines of runs in which every pair of neighbours
+    occurs elsewhere too. p and q, 128 bits of hash, tell the pair that begins at a line; the
+    last line of a run has none, and a row without words stands behind it."""
     lines = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
-    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w"))).alias("_f"))
+    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(_long(x).alias("g"), _long(1, x).alias("h"), _n_words(x).alias("w"))).alias("_f"))
     n = F.size("_f") - 1
-    two = F.zip_with(F.slice("_f", F.lit(1), n), F.slice("_f", F.lit(2), n), lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b"), a["w"].alias("w"), b["w"].alias("w_next")))
+    ends = lambda a, b: (a["g"], a["h"], b["g"], b["h"])
+    two = F.zip_with(F.slice("_f", F.lit(1), n), F.slice("_f", F.lit(2), n), lambda a, b: F.struct(_long(*ends(a, b)).alias("p"), _long(1, *ends(a, b)).alias("q"), a["w"].alias("w"), b["w"].alias("w_next")))
     pairs = staged(hashed.select("doc_id", "_key", F.posexplode_outer(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
-    shared = lines.select(F.explode_outer("_lines").alias("line")).distinct().groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    shared = staged(shared, "lines-one-hash")
-    if not shared.isEmpty():
-        pairs = pairs.join(shared.toDF("a"), "a", "left_anti").join(shared.toDF("b"), "b", "left_anti")
-    first = staged(pairs.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first <> last").drop("last"), "pairs-first")
-    marked = pairs.join(first, ["a", "b"]).filter(~_place().eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "w", "w_next").distinct()
+    often = staged(pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "pairs-often")
     text = ["doc_id", "_key"]
-    marked = marked.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*text).orderBy("at")))
-    found = marked.groupBy(*text, "run").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), (F.sum("w") + F.max_by("w_next", "at")).alias("w"))
-    return found.filter(F.col("w") >= run_words).select(*text, F.col("lo").alias("at"), (F.col("hi") - F.col("lo") + 2).alias("n_lines"))
+    shared = pairs.join(often, ["p", "q"], "left_semi").distinct()
+    by_text = Window.partitionBy(*text).orderBy("at")
+    shared = shared.withColumns({"run": F.col("at") - F.row_number().over(by_text), "_next": F.lead("at").over(by_text)})
+    own = F.struct("at", F.col("w").alias("words"), "p", "q")
+    none = F.lit(None).cast("long")
+    more = [F.struct((F.col("at") + k).alias("at"), words.alias("words"), none.alias("p"), none.alias("q")) for k, words in ((1, F.col("w_next")), (2, F.lit(0)))]
+    return shared.select(*text, "run", F.inline(F.when(F.col("_next") == F.col("at") + 1, F.array(own)).otherwise(F.array(own, *more))))
+
+
+def passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, _key, at, n_lines, u, v: from every line and up to every line the shortest passage
+    of two lines or more and run_words words or more, as far as its pairs of lines occur
+    elsewhere; u and v, 128 bits of hash, tell its lines."""
+    run = ["doc_id", "_key", "run"]
+    in_run = Window.partitionBy(*run)
+    rows = shared_lines(docs).withColumn("e", F.coalesce(F.sum("words").over(in_run.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    # The first line with run_words words or more from a line up to it, and the last line before one.
+    behind = F.min("at").over(in_run.orderBy(-F.col("e")).rangeBetween(Window.unboundedPreceding, -run_words))
+    ahead = F.max("at").over(in_run.orderBy("e").rangeBetween(Window.unboundedPreceding, -run_words))
+    rows = rows.withColumns({"behind": F.greatest(behind, F.when(behind.isNotNull(), F.col("at") + 2)), "ahead": F.least(ahead, F.when(ahead.isNotNull(), F.col("at") - 2))})
+    held = rows.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("at", "p", "q", "behind", "ahead"))).alias("_l"))
+    held = held.withColumns({"_lo": F.col("_l")[0]["at"], "_hi": F.element_at("_l", -1)["at"], "_h": F.transform("_l", lambda x: F.struct(x["p"], x["q"]))})
+    spans = F.concat(F.transform("_l", lambda x: F.struct(x["at"].alias("lo"), x["behind"].alias("hi"))), F.transform("_l", lambda x: F.struct(x["ahead"].alias("lo"), x["at"].alias("hi"))))
+    spans = F.array_distinct(F.filter(spans, lambda x: (x["lo"] >= F.col("_lo")) & (x["hi"] <= F.col("_hi"))))
+    inside = lambda x: F.slice("_h", x["lo"] - F.col("_lo") + 1, x["hi"] - x["lo"] - 1)
+    told = F.transform(spans, lambda x: F.struct(x["lo"].alias("at"), (x["hi"] - x["lo"]).alias("n_lines"), _long(inside(x)).alias("u"), _long(1, inside(x)).alias("v")))
+    return held.select("doc_id", "_key", F.inline(told))
+
+
+def runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, _key, at, n_lines of every passage that occurred before, less the lines that it
+    shares with its first occurrence in the same text."""
+    found = staged(passages(docs, run_words), "passages")
+    first = staged(found.groupBy("u", "v").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first <> last").drop("last"), "passages-first")
+    again = found.join(first, ["u", "v"]).filter(~_place().eqNullSafe(F.col("first")))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first._key") == F.col("_key"))
+    begin = F.when(same, F.greatest(F.col("at"), F.col("first.at") + F.col("n_lines"))).otherwise(F.col("at"))
+    return again.select("doc_id", "_key", begin.alias("at"), (F.col("at") + F.col("n_lines") - begin).alias("n_lines")).distinct()
 
 
 def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -137,10 +175,14 @@ g AS (SELECT doc_id, line, i, w, sum(CASE WHEN h1 IS NULL OR w >= {LONG_WORDS} O
 k AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, sum(w) AS w FROM g GROUP BY doc_id, c),
 e AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, c) AS nth FROM k WHERE w >= {MIN_WORDS} AND (n > 1 OR w >= {LONG_WORDS})),
 gone AS (SELECT doc_id, c, n FROM e WHERE nth > 1),
-p AS (SELECT doc_id, i, line, w, lead(line) OVER o AS line_next, lead(w) OVER o AS w_next FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-q AS (SELECT *, row_number() OVER (PARTITION BY line, line_next ORDER BY doc_id, i) AS nth FROM p WHERE line_next IS NOT NULL),
-m AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q WHERE nth > 1),
-r AS (SELECT doc_id, unnest(generate_series(min(i), max(i) + 1)) AS i FROM m GROUP BY doc_id, run HAVING sum(w) + arg_max(w_next, i) >= {RUN_WORDS}),
+s AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS ws FROM d WHERE len(lines) > 1),
+y AS (SELECT doc_id, lines, list_transform(range(0, len(ws) + 1), lambda k: coalesce(list_sum(ws[1:k]), 0)) AS e FROM s),
+x AS (SELECT doc_id, lines, e, unnest(range(0, len(lines) + 1)) AS i FROM y),
+q AS (SELECT doc_id, lines, i AS lo, greatest(i + 2, list_position(list_transform(e, lambda v: v >= e[i + 1] + {RUN_WORDS}), true) - 1) AS hi FROM x WHERE e[-1] >= e[i + 1] + {RUN_WORDS}
+      UNION SELECT doc_id, lines, least(i - 2, len(list_filter(e, lambda v: v <= e[i + 1] - {RUN_WORDS})) - 1), i FROM x WHERE e[i + 1] >= {RUN_WORDS}),
+m AS (SELECT doc_id, lo, hi, first_value(doc_id) OVER o AS doc1, first_value(lo) OVER o AS lo1, row_number() OVER o AS nth FROM q WHERE lo >= 0 AND hi <= len(lines) AND hi >= lo + 2
+      WINDOW o AS (PARTITION BY array_to_string(lines[lo + 1:hi], chr(10)), hi - lo ORDER BY doc_id, lo)),
+r AS (SELECT doc_id, unnest(generate_series(CASE WHEN doc1 = doc_id THEN greatest(lo, lo1 + hi - lo) ELSE lo END, hi - 1)) AS i FROM m WHERE nth > 1),
 z AS (SELECT g.doc_id, g.i, g.line, gone.c IS NOT NULL OR r.i IS NOT NULL AS away
       FROM g LEFT JOIN gone ON g.doc_id = gone.doc_id AND g.c = gone.c LEFT JOIN (SELECT DISTINCT * FROM r) AS r ON g.doc_id = r.doc_id AND g.i = r.i),
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT away) AS text, count(*) AS n_lines, count(*) FILTER (WHERE away) AS n_removed_lines FROM z GROUP BY doc_id)
