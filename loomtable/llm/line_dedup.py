@@ -7,7 +7,7 @@ a chunk by itself. Boundaries depend on the lines next to them alone: text put i
 passage, or behind it, moves none of the boundaries inside.
 
 Chunks of two lines or more, and long lines, of `min_words` words at least are compared
-over the whole corpus: first by a hash of the chunk, then, where the hash occurs twice, by
+over the whole corpus: first by a hash over their lines', then, where the hash occurs twice, by
 the bytes of the chunk, as the grouping key of an aggregate and of a join. Of equal chunks
 the first one stays (least doc_id, then least text key, then place in the text), the others
 lose their lines.
@@ -45,13 +45,24 @@ def _n_words(line: Column) -> Column:
     return F.size(F.array_remove(F.split(line, SPACE), ""))
 
 
-def chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, _key, at (number of the first line, from 0), n_lines, chunk: the chunks to compare."""
+def _long(*columns: Column | int) -> Column:
+    return F.xxhash64(*[F.lit(c) if isinstance(c, int) else c for c in columns])
+
+
+def line_facts(docs: DataFrame) -> DataFrame:
+    """doc_id, _key, _f: of every line of a text m (32 bits of its MD5, for the rolling hash), g
+    and h (128 bits of hash) and w (words). Written once, for chunks and passages alike."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
-    facts = lines.select("doc_id", "_key", "_lines", F.transform("_lines", lambda x: F.struct(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"), _n_words(x).alias("w"))).alias("_f"))
-    n = F.size("_lines")
+    fact = lambda x: F.struct(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long").alias("m"), _long(x).alias("g"), _long(1, x).alias("h"), _n_words(x).alias("w"))
+    return staged(lines.select("doc_id", "_key", F.transform("_lines", fact).alias("_f")), "line-facts")
+
+
+def chunks(facts: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, _key, at (number of the first line, from 0), n_lines, u, v (128 bits of hash over
+    the lines): the chunks to compare."""
+    n = F.size("_f")
     # A line and its predecessor (of the first line: none): does a chunk begin at the line?
-    ends = F.zip_with(F.slice("_f", F.lit(1), n - 1), F.slice("_f", F.lit(2), n - 1), lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b"), (a["w"] >= long_words).alias("la"), (b["w"] >= long_words).alias("lb")))
+    ends = F.zip_with(F.slice("_f", F.lit(1), n - 1), F.slice("_f", F.lit(2), n - 1), lambda a, b: F.struct(a["m"].alias("a"), b["m"].alias("b"), (a["w"] >= long_words).alias("la"), (b["w"] >= long_words).alias("lb")))
     facts = facts.withColumn("_pairs", F.when(n > 1, ends).otherwise(F.expr("CAST(array() AS array<struct<a:bigint,b:bigint,la:boolean,lb:boolean>>)")))
     facts = facts.withColumn("_rolled", F.transform("_pairs", lambda p: F.pmod(F.pmod(p["a"] * MULTIPLIER, F.lit(PRIME)) + p["b"], F.lit(PRIME)) % every == 0))
     # Line i (from 1) begins a chunk if it or its predecessor is long, or the hash ended one at its predecessor.
@@ -64,41 +75,42 @@ def chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, mi
     words = lambda s: F.aggregate(F.slice("_f", s["at"] + 1, s["n_lines"]), F.lit(0), lambda acc, f: acc + f["w"])
     sized = F.transform("_spans", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), words(s).alias("w")))
     facts = facts.withColumn("_sized", F.filter(sized, lambda s: (s["w"] >= min_words) & ((s["n_lines"] > 1) | (s["w"] >= long_words))))
-    joined = F.transform("_sized", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), F.array_join(F.slice("_lines", s["at"] + 1, s["n_lines"]), "\n").alias("chunk")))
+    facts = facts.withColumn("_h", F.transform("_f", lambda f: F.struct(f["g"], f["h"])))
+    inside = lambda s: F.slice("_h", s["at"] + 1, s["n_lines"])
+    told = F.transform("_sized", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), _long(inside(s)).alias("u"), _long(1, inside(s)).alias("v")))
     # The outer form, as the plain one has its input worked out once more for a filter of empty arrays.
-    return facts.select("doc_id", "_key", F.inline_outer(joined)).filter("at IS NOT NULL")
+    return facts.select("doc_id", "_key", F.inline_outer(told)).filter("at IS NOT NULL")
 
 
 def _place() -> Column:
-    """Of equal chunks or pairs the one of the least place stays."""
+    """Of equal chunks or passages the one of the least place stays."""
     return F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "_key", "at")
 
 
-def repeats(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, _key, at, n_lines of every chunk that an earlier one equals."""
-    found = chunks(docs, **how)
-    hashed = found.withColumn("h", F.xxhash64("chunk"))
-    often = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    again = staged(hashed.join(often, "h", "left_semi"), "lines-again")
+def repeats(docs: DataFrame, facts: DataFrame, **how) -> DataFrame:
+    """doc_id, _key, at, n_lines of every chunk that an earlier one equals by its bytes. Bytes
+    are taken from the texts for chunks alone whose hash occurs twice."""
+    found = staged(chunks(facts, **how), "line-chunks")
+    often = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    spans = found.join(often, ["u", "v"], "left_semi").distinct()
+    of_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.collect_list(F.struct("at", "n_lines", "u")).alias("_spans"))
+    texts = docs.filter("text IS NOT NULL").withColumn("_key", F.xxhash64("text"))
+    held = texts.join(of_doc, texts["doc_id"].eqNullSafe(of_doc["_id"]) & (texts["_key"] == of_doc["_k"])).withColumn("_lines", F.split("text", "\n"))
+    joined = F.transform("_spans", lambda s: F.struct(s["at"].alias("at"), s["n_lines"].alias("n_lines"), s["u"].alias("h"), F.array_join(F.slice("_lines", s["at"] + 1, s["n_lines"]), "\n").alias("chunk")))
+    again = staged(held.select("doc_id", "_key", F.inline(joined)), "lines-again")
     first = again.groupBy("h", "chunk").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     marked = again.join(staged(first, "lines-first"), ["h", "chunk"])
     return marked.filter(~_place().eqNullSafe(F.col("first"))).select("doc_id", "_key", "at", "n_lines")
 
 
-def _long(*columns: Column | int) -> Column:
-    return F.xxhash64(*[F.lit(c) if isinstance(c, int) else c for c in columns])
-
-
-def shared_lines(docs: DataFrame) -> DataFrame:
+def shared_lines(facts: DataFrame) -> DataFrame:
     """doc_id, _key, run, at, words, p, q: the lines of runs in which every pair of neighbours
     occurs elsewhere too. p and q, 128 bits of hash, tell the pair that begins at a line; the
     last line of a run has none, and a row without words stands behind it."""
-    lines = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
-    hashed = lines.select("doc_id", "_key", F.transform("_lines", lambda x: F.struct(_long(x).alias("g"), _long(1, x).alias("h"), _n_words(x).alias("w"))).alias("_f"))
     n = F.size("_f") - 1
     ends = lambda a, b: (a["g"], a["h"], b["g"], b["h"])
     two = F.zip_with(F.slice("_f", F.lit(1), n), F.slice("_f", F.lit(2), n), lambda a, b: F.struct(_long(*ends(a, b)).alias("p"), _long(1, *ends(a, b)).alias("q"), a["w"].alias("w"), b["w"].alias("w_next")))
-    pairs = staged(hashed.select("doc_id", "_key", F.posexplode_outer(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
+    pairs = staged(facts.filter(F.size("_f") > 1).select("doc_id", "_key", F.posexplode_outer(two).alias("at", "two")).select("doc_id", "_key", "at", "two.*"), "line-pairs")
     often = staged(pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "pairs-often")
     text = ["doc_id", "_key"]
     shared = pairs.join(often, ["p", "q"], "left_semi").distinct()
@@ -110,13 +122,13 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     return shared.select(*text, "run", F.inline(F.when(F.col("_next") == F.col("at") + 1, F.array(own)).otherwise(F.array(own, *more))))
 
 
-def passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def passages(facts: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, _key, at, n_lines, u, v: from every line and up to every line the shortest passage
     of two lines or more and run_words words or more, as far as its pairs of lines occur
     elsewhere; u and v, 128 bits of hash, tell its lines."""
     run = ["doc_id", "_key", "run"]
     in_run = Window.partitionBy(*run)
-    rows = shared_lines(docs).withColumn("e", F.coalesce(F.sum("words").over(in_run.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    rows = shared_lines(facts).withColumn("e", F.coalesce(F.sum("words").over(in_run.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     # The first line with run_words words or more from a line up to it, and the last line before one.
     behind = F.min("at").over(in_run.orderBy(-F.col("e")).rangeBetween(Window.unboundedPreceding, -run_words))
     ahead = F.max("at").over(in_run.orderBy("e").rangeBetween(Window.unboundedPreceding, -run_words))
@@ -130,10 +142,10 @@ def passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return held.select("doc_id", "_key", F.inline(told))
 
 
-def runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def runs(facts: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, _key, at, n_lines of every passage that occurred before, less the lines that it
     shares with its first occurrence in the same text."""
-    found = staged(passages(docs, run_words), "passages")
+    found = staged(passages(facts, run_words), "passages")
     first = staged(found.groupBy("u", "v").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first <> last").drop("last"), "passages-first")
     again = found.join(first, ["u", "v"]).filter(~_place().eqNullSafe(F.col("first")))
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first._key") == F.col("_key"))
@@ -145,7 +157,8 @@ def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, min
     """docs with text less the lines of repeated chunks and runs, and n_lines, n_removed_lines."""
     docs = docs.drop("n_lines", "n_removed_lines")
     known = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    gone = repeats(known, every=every, long_words=long_words, min_words=min_words).union(runs(known, run_words))
+    facts = line_facts(known)
+    gone = repeats(known, facts, every=every, long_words=long_words, min_words=min_words).union(runs(facts, run_words))
     of_doc = gone.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n_lines") - 1)))).alias("_gone"))
     rows = docs.withColumn("_key", F.xxhash64("text"))
     rows = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]) & (rows["_key"] == of_doc["_k"]), "left")

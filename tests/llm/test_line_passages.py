@@ -31,7 +31,7 @@ def test_runs_equal_every_stretch(spark, seed):
         texts[i] = "\n".join(rng.choice(lines) if rng.random() < 0.4 else texts[rng.randrange(i)] for _ in range(3))
     texts[90] = "\n".join([lines[5]] * 9)
     df = spark.createDataFrame(list(texts.items()) + [(3, texts[3])], "doc_id long, text string").repartition(5)
-    got = {(r.doc_id, i) for r in line_dedup.runs(df).collect() for i in range(r.at, r.at + r.n_lines)}
+    got = {(r.doc_id, i) for r in line_dedup.runs(line_dedup.line_facts(df)).collect() for i in range(r.at, r.at + r.n_lines)}
     assert got == every_stretch(texts, 50)
 
 
@@ -39,7 +39,7 @@ def test_pairs_of_several_texts_make_no_passage(spark):
     a, b, c = (" ".join(f"{x}{j}" for j in range(22)) for x in "abc")
     rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]
     schema = "doc_id long, text string"
-    assert line_dedup.runs(spark.createDataFrame(rows, schema)).count() == 0
+    assert line_dedup.runs(line_dedup.line_facts(spark.createDataFrame(rows, schema))).count() == 0
     rows.append((4, f"x\n{a}\n{b}\n{c}"))
-    got = {(r.doc_id, i) for r in line_dedup.runs(spark.createDataFrame(rows, schema)).collect() for i in range(r.at, r.at + r.n_lines)}
+    got = {(r.doc_id, i) for r in line_dedup.runs(line_dedup.line_facts(spark.createDataFrame(rows, schema))).collect() for i in range(r.at, r.at + r.n_lines)}
     assert got == {(4, 1), (4, 2), (4, 3)}
