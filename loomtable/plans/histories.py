@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, migrate, ordered
+from ..operators import changes, migrate, ordered, replay
 from ..session import new_folder
 from ..sources import snapshots
 from ..streaming import triggers
@@ -139,6 +139,40 @@ def summary_merge(t):
     return ordered.to_merge(t.events, "user_id", "event_id", 8, 4).select("user_id", "event_id")
 
 
+MIXED = """WITH m AS (SELECT max(event_id) AS m FROM events), live AS (SELECT events.* FROM events, m WHERE event_id > CASE WHEN user_id % 4 = 1 THEN m // 4 ELSE m // 10 END),
+ops AS (SELECT user_id, event_id AS pos, event_type AS kind, floor(value)::BIGINT::VARCHAR AS v FROM live WHERE event_type IN ('signup', 'error') UNION ALL SELECT DISTINCT user_id, m // 4, 'seed', '0' FROM events, m WHERE user_id % 4 = 1 AND user_id < 400),
+r AS (SELECT user_id, max(pos) AS pos, arg_max(kind, pos) AS kind, arg_max(v, pos) AS v FROM ops GROUP BY user_id HAVING arg_max(kind, pos) <> 'error'),
+w AS (SELECT r.user_id, arg_max(CASE event_type WHEN 'view' THEN floor(value)::BIGINT::VARCHAR ELSE 'c' || event_id END, event_id) FILTER (WHERE event_type IN ('view', 'click')) AS v, count(*) FILTER (WHERE event_type = 'purchase') AS bought
+      FROM r JOIN live ON live.user_id = r.user_id AND event_id > r.pos GROUP BY r.user_id)
+SELECT 's' || (r.user_id % 4) AS sheet, r.user_id::VARCHAR AS row_id, c AS "column", CASE WHEN c = 'kind' THEN CASE WHEN bought > 0 THEN 'purchase' ELSE r.kind END WHEN c = 'amount' THEN coalesce(w.v, r.v) WHEN pos > m // 2 THEN 'new' ELSE 'none' END AS value
+FROM r LEFT JOIN w ON w.user_id = r.user_id, m, (SELECT unnest(['kind', 'amount', 'note']) AS c)"""
+
+
+@query(MIXED)
+def replay_mixed(t):
+    """events as a log: rows, cells, a replaced sheet, replaced data, and three changes of columns
+    at a third, half and two thirds of it."""
+    none = {"row_id": F.lit(None).cast("string"), "cells": F.lit(None).cast("map<string,string>"), "name": F.lit(None).cast("string"), "to": F.lit(None).cast("string"), "part": F.lit(0), "seq": F.lit(0), "op": F.lit(1)}
+    columns = ["message", "seq", "op", "part", "kind", "sheet", "row_id", "cells", "name", "to"]
+    last = t.events.agg(F.max("event_id").alias("m"))  # one row
+    events = t.events.crossJoin(F.broadcast(last)).withColumns(none).withColumns({"message": F.col("event_id"), "sheet": F.concat(F.lit("s"), F.col("user_id") % 4), "row_id": F.col("user_id").cast("string"), "op": F.lit(0)})
+    third, half, late = (F.col("event_id") > F.floor(F.col("m") * n / 6) for n in (2, 3, 4))
+    value, amount = F.floor("value").cast("long").cast("string"), F.when(third, "amount").otherwise("value")
+    cells = F.map_concat(F.create_map(F.lit("kind"), F.col("event_type"), amount, value), F.when(late, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("props"), F.col("props"))), F.when(half, F.create_map(F.lit("note"), F.lit("new"))).otherwise(F.create_map().cast("map<string,string>")))
+    edit = F.when(F.col("event_type") == "view", F.create_map(amount, value)).when(F.col("event_type") == "click", F.create_map(amount, F.concat(F.lit("c"), "event_id"))).otherwise(F.create_map(F.lit("kind"), F.lit("purchase")))
+    kind = F.when(F.col("event_type") == "signup", "row_upsert").when(F.col("event_type") == "error", "row_delete").otherwise("cell_edit")
+    rows = events.withColumns({"kind": kind, "cells": F.when(kind == "row_upsert", cells).when(kind == "cell_edit", edit)}).select(*columns)
+    marks = last.withColumns(none)
+    at = lambda n, d: F.floor(F.col("m") * n / d)
+    sheets = F.explode(F.array(*[F.lit(f"s{k}") for k in range(4)]))
+    one = lambda kind, place, **cells: marks.withColumns({"message": place, "kind": F.lit(kind), "sheet": sheets if kind.startswith("column") else F.lit("s1" if kind == "sheet_replace" else None).cast("string"), **{k: F.lit(v) for k, v in cells.items()}}).select(*columns)
+    seeds = events.filter("user_id % 4 = 1 AND user_id < 400").select("row_id", "m").distinct().withColumns({**{k: v for k, v in none.items() if k != "row_id"}, "message": at(1, 4), "kind": F.lit("row_upsert"), "sheet": F.lit("s1"), "part": F.lit(1), "cells": F.create_map(F.lit("kind"), F.lit("seed"), F.lit("value"), F.lit("0"), F.lit("props"), F.lit("p"))}).select(*columns)
+    log = rows
+    for more in (one("data_replace", at(1, 10)), one("sheet_replace", at(1, 4)), seeds, one("column_rename", at(1, 3), name="value", to="amount"), one("column_add", at(1, 2), name="note", to="none"), one("column_drop", at(2, 3), name="props")):
+        log = log.unionByName(more)
+    return replay.replayed(log)
+
+
 # Migration
 @query("SELECT p_partkey, p_name AS title, p_size::VARCHAR AS p_size, 'none' AS note FROM part")
 def migrate_table(t):
