@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, migrate, ordered, replay
 from ..session import new_folder
-from ..sources import snapshots
+from ..sources import layers, snapshots
 from ..streaming import triggers
 from .registry import query
 
@@ -228,6 +228,21 @@ def versions_current(t):
     return snapshots.current(t.spark, folder)
 
 
+@query("""SELECT vec_id, CASE WHEN vec_id = 22 THEN 5 WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS label, len(embedding) AS n FROM embeddings WHERE vec_id % 11 <> 0 OR vec_id = 22
+UNION ALL SELECT -vec_id - 1, label, len(embedding) FROM embeddings WHERE vec_id % 5 = 0""")
+def index_layers(t):
+    """A vector index as base and deltas: changed rows, deletes, new rows, and a fold on the way."""
+    folder, base = new_folder(t.spark, "layers"), t.embeddings.select("vec_id", "label", "embedding")
+    layers.write_base(base, "vec_id", folder, pack_rows=100)
+    op = lambda df, name: df.withColumn("op", F.lit(name))
+    changed = op(base.filter("vec_id % 7 = 0").withColumn("label", F.col("label") + 100), "upsert")
+    new = op(base.filter("vec_id % 5 = 0").withColumn("vec_id", -F.col("vec_id") - 1).unionByName(base.filter("vec_id = 22").withColumn("label", F.lit(5))), "upsert")
+    n = changed.count()
+    for delta in (changed, op(base.filter("vec_id % 11 = 0"), "delete"), new):
+        layers.write_delta(delta, "vec_id", folder, base.schema, fold_at=n + 2, pack_rows=100)
+    return layers.read(t.spark, folder, base.schema, "vec_id").select("vec_id", "label", F.size("embedding").alias("n"))
+
+
 # Streams: the events table as a stream of files, run to its end
 def _stream(t, name):
     schema = getattr(t, name).schema
