@@ -136,3 +136,66 @@ def fuzzy_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     for df, key, name in ((items, item_id, "item_id"), (docs, doc_id, "doc_id")):
         near = near.join(texts(df, key, name), (F.col(f"_{name}") == F.col("_k")) & F.col(name).eqNullSafe(F.col("_id"))).drop("_id", "_k")
     return near.select("doc_id", "item_id", fuzzy_score(F.col("_text_item_id"), F.col("_text_doc_id")).alias("score")).filter("score > 0")
+
+
+#: Bytes of query vectors that are sent to every task at once.
+QUERY_BYTES = 32 << 20
+
+
+def dense_many(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, vec_id, score, rank: of every query (query_id, embedding) the k vectors (vec_id,
+    embedding) of the greatest cosine, ties by vec_id, no score under `least`. Queries go in
+    groups of at most query_bytes; a task multiplies its vectors batch by batch with a group's
+    matrix and keeps k rows a query, and only those meet by query. Scores have nine digits, so
+    that the order does not hang on the last bits. Vectors of unlike length are compared on
+    the length they share, a zero vector scores 0, a null one is no vector."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))}
+    listed, size, groups = [], 0, []
+    for r in queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+        if listed and size + 8 * len(r.embedding) > query_bytes:
+            groups.append(spark.sparkContext.broadcast(listed))
+            listed, size = [], 0
+        listed.append((r.query_id, np.asarray(r.embedding, np.float64)))
+        size += 8 * len(r.embedding)
+    groups.append(spark.sparkContext.broadcast(listed))
+
+    def best(group):
+        def run(batches):
+            by_length: dict[int, list] = {}
+            for query_id, v in group.value:
+                by_length.setdefault(len(v), []).append((query_id, v))
+            kept: dict = {}
+            for batch in batches:
+                rows: dict[int, list] = {}
+                for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if v is not None:
+                        rows.setdefault(len(v), []).append((vec_id, v))
+                for n, own in by_length.items():
+                    for m, given in rows.items():
+                        short = min(n, m)
+                        q = np.array([v[:short] for _, v in own]).reshape(len(own), short)
+                        x = np.array([v[:short] for _, v in given], np.float64).reshape(len(given), short)
+                        norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+                        scores = np.round(np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0), 9) + 0.0
+                        for (query_id, _), row in zip(own, scores, strict=True):
+                            bar = np.partition(row, -k)[-k] if len(row) > k else -2.0
+                            found = [(-row[i], given[i][0]) for i in np.flatnonzero((row >= bar) & (row >= least))]
+                            kept[query_id] = sorted(kept.get(query_id, []) + found)[:k]
+            flat = [(query_id, vec_id, -score) for query_id, found in kept.items() for score, vec_id in found]
+            columns = list(zip(*flat, strict=True)) or [(), (), ()]
+            schema = pa.schema([("query_id", pa.int64() if kinds["query_id"] == "bigint" else pa.string()), ("vec_id", pa.int64() if kinds["vec_id"] == "bigint" else pa.string()), ("score", pa.float64())])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        return run
+
+    rows = vectors.select("vec_id", "embedding")
+    found = None
+    for group in groups:
+        part = rows.mapInArrow(best(group), f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
+        found = part if found is None else found.union(part)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))  # k rows a task
+    return found.withColumn("rank", nth).filter(F.col("rank") <= k)

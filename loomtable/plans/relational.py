@@ -9,6 +9,7 @@ from ..catalog import Catalog
 from ..functions.predicates import any_cell, compare, glob, keywords, truthy
 from ..operators.ordered import batches, codes, elementary, last_rows, logical_clock, overlapping, spliced
 from ..operators.query import TableQuery, rows_of
+from ..operators import frames
 from .registry import query
 
 R2 = lambda c: F.round(c, 2)
@@ -328,3 +329,18 @@ def join_star_revenue(t):
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(R2(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"))
+
+
+#: Peer groups of a supplier's rows by quantity.
+EXCLUDED = {"a": ("1", "1", "NO OTHERS"), "b": ("1", "0", "CURRENT ROW"), "c": ("2", "1", "GROUP"), "d": ("UNBOUNDED", "1", "TIES")}
+
+
+FRAMES = {n: f"OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity GROUPS BETWEEN {lo} PRECEDING AND {hi} FOLLOWING EXCLUDE {what})" for n, (lo, hi, what) in EXCLUDED.items()}
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"sum(l_linenumber) {f} AS {n}sum, count(l_linenumber) {f} AS {n}count, round(avg(l_linenumber) {f}, 9) AS {n}avg" for n, f in FRAMES.items()) + " FROM lineitem")
+def win_groups_exclude(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    for name, (lo, hi, what) in EXCLUDED.items():
+        rows = frames.groups_frame(rows, ["l_suppkey", "l_returnflag"], ["l_quantity"], "l_linenumber", None if lo == "UNBOUNDED" else int(lo), int(hi), what.lower(), name)
+    return rows.drop("l_suppkey", "l_returnflag", "l_quantity").withColumns({f"{n}avg": F.round(f"{n}avg", 9) for n in EXCLUDED})

@@ -116,6 +116,14 @@ def cosine_topk(t):
     return retrieval.top(retrieval.dense(t.embeddings, q), 20).withColumn("score", F.round("score", 6))
 
 
+@query("""SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)) WHERE rank <= 10 AND score >= 0.2""")
+def cosine_topk_many(t):
+    """Every twentieth vector as a query against all, in groups of a few kilobytes."""
+    queries = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_many(t.embeddings, queries, 10, 0.2, query_bytes=8 << 10)
+
+
 QUERY = "the and thand heonha"
 BM25 = f"""w AS (SELECT doc_id, {TOKENS} AS ts FROM documents), s AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM w),
 f AS (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM w) WHERE term IN ('the', 'and', 'thand', 'heonha') GROUP BY ALL),
