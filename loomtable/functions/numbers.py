@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +20,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (norm > 0), dot(x, y) / norm).otherwise(0.0)
 
 
+_STEPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: F.try_mod}
+
+
+def _column_of(node: ast.expr) -> Column:
+    if isinstance(node, ast.BinOp) and type(node.op) in _STEPS:
+        return _STEPS[type(node.op)](_column_of(node.left), _column_of(node.right))
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
+        return -_column_of(node.operand) if isinstance(node.op, ast.USub) else _column_of(node.operand)
+    if isinstance(node, (ast.Constant, ast.Name, ast.Attribute)):
+        return F.expr(ast.unparse(node))
+    raise ValueError(f"{ast.unparse(node)!r} is no arithmetic")
+
+
 def calculated(expression: str) -> Column:
-    """+ - * / % and parentheses over numbers and columns, rounded down."""
+    """+ - * / % and parentheses over numbers and columns, rounded down; null in rows where a
+    column that divides is 0."""
     if not re.fullmatch(r"[\w\s.+\-*/%()]+", expression) or "--" in expression:
         raise ValueError(f"{expression!r} is no arithmetic")
     if re.search(r"/\s*0+(\.0*)?(?![\d.])", expression):
         raise ValueError("division by zero")
-    return F.floor(F.expr(expression))
+    try:
+        return F.floor(_column_of(ast.parse(expression.strip(), mode="eval").body))
+    except SyntaxError as e:
+        raise ValueError(f"{expression!r} is no arithmetic") from e
 
 
 def largest(*values: Column) -> Column:

@@ -82,6 +82,8 @@ def storage_decision(replayed: Column, to_converge: Column, to_confirm: Column,
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """n, mark: rows in any order and columns in any order give the same mark."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")), 256).alias("mark"))
+    """n, mark: rows in any order and columns in any order give the same mark; names of columns
+    and nulls count, a null is not a text."""
+    cells = [x for c in sorted(df.columns) for x in (F.lit(c), F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    h = F.xxhash64(*cells)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string"), F.lit(",".join(sorted(df.columns)))), 256).alias("mark"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtable.catalog import Catalog, QueryError, is_read_only
 from loomtable.functions import text as T
 from loomtable.functions.predicates import keywords
-from loomtable.functions import jsons
+from loomtable.functions import jsons, numbers
 from loomtable.operators import changes, logs, migrate, ordered, retrieval, writes
 from loomtable.operators.expansion import expand
 from loomtable.operators.query import TableQuery
@@ -110,6 +110,21 @@ def test_inserts_and_replaces_by_key(spark):
     assert rows(table) == [(1, "a", 1), (2, "new 2", None), (3, "new 1", None)] and n.first()[0] == 2
 
 
+def test_division_by_a_zero_column_is_null(spark):
+    df = spark.createDataFrame([(0, 7), (2, 7), (None, 7)], "a int, b int")
+    assert [r.x for r in df.select("a", numbers.calculated("(b + 1) / a").alias("x")).orderBy("a").collect()] == [None, None, 4]
+    assert [r.x for r in df.select(numbers.calculated("-b % 4 * 2.5").alias("x")).limit(1).collect()] == [-8]
+    for wrong in ("b / 0", "b ** 2", "b +", "f(b)"):
+        with pytest.raises(ValueError):
+            numbers.calculated(wrong)
+
+
+def test_fingerprints_tell_nulls_and_names(spark):
+    mark = lambda rows, schema: logs.fingerprint(spark.createDataFrame(rows, schema)).first()["mark"]
+    assert len({mark([(1, None)], "a int, b string"), mark([(1, "\0")], "a int, b string"), mark([(1, "")], "a int, b string"), mark([(1, "")], "a int, c string")}) == 4
+    assert mark([(1, "x"), (2, "y")], "a int, b string") == mark([("y", 2), ("x", 1)], "b string, a int")
+
+
 def test_last_edit_by_place_wins_and_keys_stay(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     edits = spark.createDataFrame([(0, "v", "zz", 1), (0, "v", "aa", 2), (1, "id", "7", 3)], "place long, column string, value string, seq int")
