@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-import time
 import zlib
 from collections import Counter
 
@@ -264,6 +263,34 @@ def test_licenses_amid_other_text(spark):
     assert license_scan.scan(one).first().n_license_spans == 1
 
 
+def test_licenses_told_apart(spark):
+    """Notices that differ from a template by a word or a number."""
+    cc = "This work is licensed under a Creative Commons {} License."
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    rows = {
+        1: (cc.format("Attribution-NonCommercial 4.0 International"), "CC-BY-NC-4.0"), 2: (cc.format("Attribution-NoDerivatives 4.0 International"), "CC-BY-ND-4.0"),
+        3: (cc.format("Attribution-NonCommercial-ShareAlike 3.0 Unported"), "CC-BY-NC-SA-3.0"), 4: (cc.format("Attribution 4.0 International"), "CC-BY-4.0"),
+        5: (cc.format("Attribution 2.5 Generic"), "CC-BY-2.5"), 6: (gnu.format("Lesser ", "2"), None), 7: (gnu.format("Lesser ", "2.1"), "LGPL-2.1"),
+        8: (gnu.format("Affero ", "1"), "AGPL-1.0"), 9: (gnu.format("", "3").replace(" is ", " is not "), None), 10: (gnu.format("", "3.0"), "GPL-3.0"),
+        11: (gnu.format("Library ", "2"), "LGPL-2.0"), 12: (gnu.format("", "2"), "GPL-2.0"), 13: ("Licensed under the Apache License, Version 1.1.", None),
+        14: ("1. Released under the MIT License.", "MIT"), 15: ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), 16: ("This very software is licensed under the MIT License.", "MIT"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in license_scan.scan(df).collect()} == {k: v[1] for k, v in rows.items()}
+    # In a row of lines as well.
+    amid = spark.createDataFrame([(k, f"some words\n\n{v[0].replace('licensed ', 'licensed' + chr(10))}\n\nmore words") for k, v in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(amid).collect()}
+    assert all(got[k] == rows[k][1] for k in (1, 2, 3, 4, 6, 7, 9, 12)), got
+
+
+def test_many_licenses_in_one_text(spark):
+    """A notices file of 40 KB, more lines than a run may have."""
+    mit = next(t.text for t in license_scan.TEMPLATES if t.license == "MIT" and len(t.text) > 200).split()
+    text = "\n\n".join(f"part {i}\n" + "\n".join(" ".join(mit[j : j + 5]) for j in range(0, len(mit), 5)) for i in range(40))
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.license == "MIT" and row.licenses == "MIT" and row.dice > 0.98
+
+
 def split_item(text):
     """Words of the question and of the answer: the last sentence, if both have eight words."""
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
