@@ -40,3 +40,17 @@ def test_frames_refuse_and_take_nulls(spark):
         frames.groups_frame(df, [], ["o"], "v", 1, 1, "rows")
     got = {(r.o, r.v): (r["sum"], r["count"], r["avg"]) for r in frames.groups_frame(df, [], ["o"], "v", 0, 0, "current row").collect()}
     assert got == {(1, None): (2, 1, 2.0), (1, 2): (None, 0, None), (2, 3): (None, 0, None), (None, 4): (None, 0, None)}
+
+
+def test_dense_many_over_many_blocks_asks_the_driver_for_no_vector(spark, monkeypatch):
+    rng = random.Random(2)
+    vectors = {i: [float(rng.randrange(-2, 3)) for _ in range(4)] for i in range(150)}
+    v = spark.createDataFrame(list(vectors.items()), "vec_id int, embedding array<float>")
+    q = v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(type(v), "toLocalIterator", lambda *_: pytest.fail("vectors came to the driver"))
+    want = []
+    for i in range(0, 150, 20):
+        every = sorted((-cosine(vectors[i], b), k) for k, b in vectors.items() if cosine(vectors[i], b) >= 0.2)
+        want += [(i, k, pytest.approx(-s, abs=2e-9), nth) for nth, (s, k) in enumerate(every[:5], 1)]
+    got = retrieval.dense_many(v, q, 5, 0.2, 64, block_bytes=200)
+    assert sorted((r.query_id, r.vec_id, r.score, r.rank) for r in got.collect()) == sorted(want, key=lambda r: r[:2])
