@@ -341,6 +341,6 @@ FRAMES = {n: f"OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity GR
 @query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"sum(l_linenumber) {f} AS {n}sum, count(l_linenumber) {f} AS {n}count, round(avg(l_linenumber) {f}, 9) AS {n}avg" for n, f in FRAMES.items()) + " FROM lineitem")
 def win_groups_exclude(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
-    for name, (lo, hi, what) in EXCLUDED.items():
-        rows = frames.groups_frame(rows, ["l_suppkey", "l_returnflag"], ["l_quantity"], "l_linenumber", None if lo == "UNBOUNDED" else int(lo), int(hi), what.lower(), name)
+    framed = {name: (None if lo == "UNBOUNDED" else int(lo), int(hi), what.lower()) for name, (lo, hi, what) in EXCLUDED.items()}
+    rows = frames.groups_frames(rows, ["l_suppkey", "l_returnflag"], ["l_quantity"], "l_linenumber", framed)
     return rows.drop("l_suppkey", "l_returnflag", "l_quantity").withColumns({f"{n}avg": F.round(f"{n}avg", 9) for n in EXCLUDED})

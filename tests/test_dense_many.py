@@ -54,3 +54,24 @@ def test_dense_many_over_many_blocks_asks_the_driver_for_no_vector(spark, monkey
         want += [(i, k, pytest.approx(-s, abs=2e-9), nth) for nth, (s, k) in enumerate(every[:5], 1)]
     got = retrieval.dense_many(v, q, 5, 0.2, 64, block_bytes=200)
     assert sorted((r.query_id, r.vec_id, r.score, r.rank) for r in got.collect()) == sorted(want, key=lambda r: r[:2])
+
+
+def test_frames_of_few_sorts_equal_every_row(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2]), rng.choice([None, 1, 2, 3, 4]), rng.choice([None, -2, 0, 5])) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, p int, o int, v int").repartition(3)
+    framed = {"a": (1, 1, "no others"), "b": (1, 0, "current row"), "c": (2, 1, "group"), "d": (None, 1, "ties"), "e": (-1, 2, "group"), "f": (0, None, "ties")}
+    made = frames.groups_frames(df, ["p"], ["-o"], "v", framed)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "- Window [" in x]) == 1
+    for r in made.collect():
+        numbers = sorted({-9 if x[2] is None else x[2] for x in rows if x[1] == r.p}, reverse=True)  # nulls last
+        at = {i: numbers.index(-9 if o is None else o) for i, p, o, _ in rows if p == r.p}
+        for name, (before, after, exclude) in framed.items():
+            taken = []
+            for i, v in ((x[0], x[3]) for x in rows if x[1] == r.p):
+                step = at[i] - at[r.i]
+                inside = (before is None or step >= -before) and (after is None or step <= after)
+                out = {"no others": False, "current row": i == r.i, "group": step == 0, "ties": step == 0 and i != r.i}[exclude]
+                taken += [v] if inside and not out and v is not None else []
+            assert (r[f"{name}count"], r[f"{name}sum"]) == (len(taken), sum(taken) if taken else None), (name, r)
