@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import with_row_ids
+from ..session import written
 
 KINDS = ("insert", "replace", "update", "delete")
 
@@ -81,9 +82,13 @@ def at_places(df: DataFrame, order: list[str], key: str, edits: DataFrame) -> tu
 def strict_matches(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """op, n_rows, key: which row each edit means. wanted: (op, where), a map of column to value;
     an edit is good if all its values meet in exactly one row (key is null otherwise)."""
-    conditions = wanted.select("op", F.size("where").alias("_n"), F.explode("where").alias("column", "value"))
-    cells = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])))
-    met = conditions.join(cells, ["column", "value"]).groupBy("op", "_n", "_key").agg(F.count(F.lit(1)).alias("_met")).filter("_met = _n")
+    conditions = wanted.select("op", "where", F.explode("where").alias("column", "value"))
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    cells = df.select(F.col(key).alias("_key"), values.alias("_row")).select("_key", "_row", F.inline("_row"))
+    # Each edit asks for the condition that the fewest rows meet; the rest is looked up in the row.
+    often = cells.join(conditions.select("column", "value").distinct(), ["column", "value"], "left_semi").groupBy("column", "value").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = written(conditions.join(often, ["column", "value"], "left").groupBy("op").agg(F.min_by(F.struct("column", "value", "where"), F.struct(F.coalesce("_often", F.lit(0)), "column")).alias("_c")).select("op", "_c.*"), "rarest-conditions")  # its size is known: the rows are not sent around
+    met = cells.join(rarest, ["column", "value"]).filter(F.forall(F.map_entries("where"), lambda e: F.array_contains(F.col("_row"), F.struct(e["key"].alias("column"), e["value"].alias("value")))))
     found = met.groupBy("op").agg(F.count(F.lit(1)).alias("n_rows"), F.min("_key").alias("_key"))
     return wanted.select("op").join(found, "op", "left").select("op", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("n_rows") == 1, F.col("_key")).alias(key))
 

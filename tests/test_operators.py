@@ -339,3 +339,10 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     assert sorted(got) == sorted(want)
     assert len({s for _, _, s in want}) > 2 and any(i == "96" for _, i, _ in want)
     assert retrieval.fuzzy_pairs(a.limit(0), b).count() == retrieval.fuzzy_pairs(a, b.limit(0)).count() == 0
+
+
+def test_strict_edits_count_rows_and_take_nulls(spark):
+    df = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (2, "x", 2), (3, None, 3), (None, "y", 4)], "row_id long, name string, n int")
+    wanted = spark.createDataFrame([(1, {"name": "x", "n": "1"}), (2, {"name": "x", "n": "2"}), (3, {"n": "3", "name": None}), (4, {}), (5, None), (6, {"zzz": "1"}), (7, {"name": "y"}), (8, {"name": "x"})], "op int, where map<string,string>")
+    got = {r.op: (r.n_rows, r.row_id) for r in writes.strict_matches(df, "row_id", wanted).collect()}
+    assert got == {1: (2, None), 2: (1, 2), 3: (0, None), 4: (0, None), 5: (0, None), 6: (0, None), 7: (1, None), 8: (3, None)}
