@@ -35,10 +35,11 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,19 @@ from .common import kept_in_worker, new_folder, staged, table
 MAGIC, HEAD, DOC = b"LOOMIDS1", struct.Struct("<8sQQI3I"), np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 FILE_BYTES = 16 << 20
 KEPT = 400_000  # pre-tokens and their ids that a Python worker keeps
+CHUNK = 2_000_000  # signs of plain texts that are cut at once, or one text
+COUNTED = 4 << 20  # bytes of ids that are counted at once, or one document
 
 #: Finds a sign outside the plain ones: printable ASCII with tab and line ends, Latin letters
 #: and signs below U+0250 (all in composed form), dashes, quotation marks and their like.
 UNPLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]").search
 #: The printable sign that byte-level pre-tokenizers write for each byte.
-BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+UNPRINTED = [*range(33), *range(127, 161), 173]
+BYTE_SIGNS = [chr(256 + UNPRINTED.index(b) if b in UNPRINTED else b) for b in range(256)]
+
+#: The one pattern of pre-tokens that `WordEncoder` cuts by itself, in lower-cased plain text.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, DIGIT, OTHER = range(4)
 
 #: By control byte: the lengths of its four numbers.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -98,14 +106,27 @@ def of_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, ids_of[unpack(control, raw[at:], n_ids)].astype("<u4")
 
 
+def kinds() -> np.ndarray:
+    """SPACE, LETTER, DIGIT or OTHER by code point below 65536, as `CUT` tells them."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    found = np.full(1 << 16, OTHER, np.uint8)
+    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+        found[[ord(x) for x in regex.findall(pattern, every)]] = kind
+    return found
+
+
 class WordEncoder:
     """Texts by the parts of the tokenizers library, each pre-token through its model once.
 
-    Of texts in plain signs (`PLAIN`), where lower case, composed forms and the classes of
-    the tokenizer's own pattern are the same in Python and in the library, the pre-tokens are
-    found by that pattern in Python. Other texts, those with a special token in them, and all
-    of a tokenizer of another make, are cut at spaces and each stretch goes to the library
-    whole: neither pre-tokens nor special tokens hold white space.
+    Of texts in plain signs (`UNPLAIN` finds none other), where lower case, composed forms and
+    the classes of the tokenizer's own pattern are the same in Python and in the library, the
+    pre-tokens are found with numpy, for many texts at once: one begins where the kind of sign
+    changes, at every digit, and behind a contraction. Each different one of a chunk is looked
+    up once. Other texts, those with a special token in them, and all of a tokenizer of another
+    make, are cut at spaces and each stretch goes to the library whole: neither pre-tokens nor
+    special tokens hold white space.
 
     Of the ids kept from earlier texts, `KEPT` entries stay at most."""
 
@@ -120,46 +141,101 @@ class WordEncoder:
         with open(path) as f:
             made = json.load(f)
         self.special = [t["content"] for t in made["added_tokens"]]
-        self.find = self._pattern(made)
+        self.kinds = kinds() if self._cuts_plain(made) else None
         self.pieces, self.stretches = Kept(self._piece), Kept(self._stretch)
 
     @staticmethod
-    def _pattern(made: dict) -> Callable[[str], list[str]] | None:
-        """What finds pre-tokens in lower-cased plain text, if the tokenizer's steps are of the
-        make that plain texts allow."""
-        import regex
-
+    def _cuts_plain(made: dict) -> bool:
+        """Whether the tokenizer's steps are of the make that plain texts allow."""
         normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         split, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [None])
         fits = normal == ["NFC", "Replace", "Lowercase"] and made["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and made["normalizer"]["normalizers"][1]["content"] == " "
         fits = fits and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and [r["type"] for r in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
-        return regex.compile(split["pattern"]["Regex"]).findall if fits and not made["post_processor"] else None
+        return fits and split["pattern"] == {"Regex": CUT} and not made["post_processor"]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))]
+    def _piece(self, piece: bytes) -> bytes:
+        signs = piece.decode("utf-16-le")
+        if not signs.isascii():  # plain ASCII signs other than white space stand for themselves
+            signs = "".join(map(BYTE_SIGNS.__getitem__, signs.encode()))
+        ids = [t.id for t in self.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}{self.pack}", *ids)
 
     def _stretch(self, stretch: str) -> bytes:
         ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.pack}", *ids)
 
+    def _starts(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a pre-token begins, and what is not white space. The first sign and the last
+        two are white space."""
+        kind = self.kinds[signs]
+        inside = kind != SPACE
+        start = kind == DIGIT
+        start[1:] |= kind[1:] != kind[:-1]
+        start &= inside
+        at = np.flatnonzero((signs == ord("'")) & start)  # an apostrophe within a run of other signs begins none
+        one, two = signs[at + 1], signs[at + 2]
+        double = np.isin(one.astype(np.uint32) << 16 | two, [ord(x) << 16 | ord(y) for x, y in ("re", "ve", "ll")])
+        length = np.where(np.isin(one, [ord(x) for x in "stmd"]), 2, np.where(double, 3, 0))
+        at, length = at[length > 0], length[length > 0]
+        start[at + 1] = False
+        start[at + length] = inside[at + length]
+        return start, inside
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of the plain texts."""
+        low = [t.lower() for t in texts]
+        signs = np.frombuffer("\n".join(["", *low, "", ""]).encode("utf-16-le"), "<u2")
+        start, inside = self._starts(signs)
+        ends = np.cumsum([len(t) + 1 for t in low])
+        ends = np.cumsum(np.add.reduceat(start, np.concatenate([[0], ends[:-1]]), dtype=np.int64))  # pre-tokens up to each text's end
+        used = signs[inside]
+        at = np.append(np.flatnonzero(start[inside]), len(used)) * used.itemsize
+        if not len(used):
+            return [b""] * len(texts)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(used)]).dictionary_encode()
+        each = list(map(self.pieces.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)))
+        _, at, ids = pa.array(each, pa.large_binary()).take(pieces.indices).buffers()
+        ends = np.frombuffer(at, np.int64)[ends].tolist()
+        ids = memoryview(ids or b"")  # no buffer if no pre-token has ids
+        return [bytes(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned integers of `code`."""
+        out, held, size = [b""] * len(texts), [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            for k, ids in zip(held, self._plain([texts[k] for k in held]), strict=True):
+                out[k] = ids
+            held, size = [], 0
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if self.kinds is None or UNPLAIN(text) or any(t in text for t in self.special):
+                out[k] = b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
+                continue
+            if held and size + len(text) > CHUNK:
+                flush()
+            held.append(k)
+            size += len(text)
+        if held:
+            flush()
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text, as little-endian unsigned integers of `code`."""
-        if not text:
-            return b""
-        if self.find and not UNPLAIN(text) and not any(t in text for t in self.special):
-            return b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
-        return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
 
 class Kept(dict):
     """What make gave by its argument. Of KEPT entries at most, half are the latest ones asked
     for, half those before; what is asked for again becomes a late one."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str | bytes], bytes]):
         self.make, self.before = make, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes:
         if len(self) >= KEPT // 2:
             self.before = dict(self)
             self.clear()
@@ -177,7 +253,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
         encoder = kept_in_worker(tokenizer_path, lambda: WordEncoder(tokenizer_path))
         end = struct.pack(f"<{encoder.pack}", end_id)
         for batch in batches:
-            yield pd.Series([encoder.encode(text) + end for text in batch], dtype=object)
+            yield pd.Series([ids + end for ids in encoder.encode_all(batch.to_list())], dtype=object)
 
     return docs.select("doc_id", run(docs["text"]).alias("ids"))
 
@@ -193,12 +269,22 @@ def counts(rows: DataFrame, code: str = "<u4") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
+        held: list[bytes] = []
+        size = 0
+
+        def add() -> None:
+            nonlocal total, held, size
+            found = np.bincount(np.frombuffer(b"".join(held), code), minlength=len(total))
+            found[: len(total)] += total
+            total, held, size = found, [], 0
+
         for batch in batches:
             for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids, code))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+                held.append(ids)
+                size += len(ids)
+                if size >= COUNTED:
+                    add()
+        add()
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
